@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table as T
-from . import confusables, mixing, splits
+from . import align, confusables, langid, leaks, mixing, overlap, packing, sentences, splits, tokens
 
 
 def _pairs(s, d):
@@ -42,7 +42,75 @@ def p3_assign(s, d):
     return splits.assign_splits(_pairs(s, d), T(s, d, "aligned_corpus"), T(s, d, "split_target"))
 
 
-QUERIES = {f.__name__: f for f in (p1_mix, p1_shares, p2_found, p2_plain, p2_map, p3_found, p3_assign)}
+def p3_shares(s, d):
+    t = T(s, d, "split_target")
+    return splits.split_shares(_pairs(s, d), splits.assign_splits(_pairs(s, d), T(s, d, "aligned_corpus"), t), t)
+
+
+def p4_found(s, d):
+    return align.aligned_lines(T(s, d, "aligned_corpus"))
+
+
+def p5_found(s, d):
+    return overlap.cross_split(_pairs(s, d))
+
+
+def p5_report(s, d):
+    return overlap.overlap_report(_pairs(s, d))
+
+
+def p6_tokens(s, d):
+    return tokens.token_counts(T(s, d, "mono_text"), "text_id", "text", tokens.unigram_from(T(s, d, "vocab_piece")))
+
+
+def p6_totals(s, d):
+    return tokens.token_totals(T(s, d, "mono_text"), tokens.unigram_from(T(s, d, "vocab_piece")))
+
+
+def p6_public_totals(s, d):
+    return tokens.token_totals(T(s, d, "mono_text"), tokens.ByteBpe())
+
+
+def p7_found(s, d):
+    return sentences.sentence_ends(T(s, d, "mono_text"))
+
+
+def p7_sentences(s, d):
+    return sentences.sentences(T(s, d, "mono_text"))
+
+
+def p8_pack(s, d):
+    return packing.fill_containers(T(s, d, "documents"), T(s, d, "container_spec"))
+
+
+def p8_fill(s, d):
+    spec = T(s, d, "container_spec")
+    return packing.fill_report(packing.fill_containers(T(s, d, "documents"), spec), spec)
+
+
+def p9_found(s, d):
+    return leaks.leaked_items(T(s, d, "documents"), T(s, d, "eval_item")).select("doc_id", "item_id")
+
+
+def p9_coverage(s, d):
+    return leaks.leaked_items(T(s, d, "documents"), T(s, d, "eval_item"))
+
+
+def p10_found(s, d):
+    return langid.mislabelled(T(s, d, "documents"))
+
+
+def p10_stretches(s, d):
+    return langid.stretches(T(s, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_mix, p1_shares, p2_found, p2_plain, p2_map, p3_found, p3_assign, p3_shares, p4_found, p5_found, p5_report, p6_tokens, p6_totals,
+        p6_public_totals, p7_found, p7_sentences, p8_pack, p8_fill, p9_found, p9_coverage, p10_found, p10_stretches,
+    )
+}
 SQL: dict[str, str] = {}
 
 
