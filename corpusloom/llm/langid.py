@@ -11,6 +11,7 @@ least total length, where a change of language costs ``SWITCH`` bits.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,6 +143,15 @@ class Trees:
         return out
 
 
+def plain(text: str) -> str:
+    """Text as the trees see it: compatibility forms unified, blanks as one."""
+    if text.isascii():
+        return text
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return text
+
+
 def pieces(text: str) -> list[str]:
     """The text cut after end marks and line breaks; nothing is lost."""
     return [p for p in _PIECE.findall(text) if p] or ([text] if text else [])
@@ -170,7 +180,7 @@ def best_path(bits: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def split_bits(model: Trees, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
     """Pieces of each text and their code lengths."""
     cut = [pieces(t) for t in texts]
-    raw = [[p.encode("utf-8", "ignore") or b" " for p in ps] for ps in cut]
+    raw = [[plain(p).encode("utf-8", "ignore") or b" " for p in ps] for ps in cut]
     flat = [x for r in raw for x in r]
     if not flat:
         return [(ps, np.zeros((0, len(model.langs)))) for ps in cut]
@@ -195,12 +205,12 @@ def train(sample: list[tuple[str, str]]) -> Trees:
     for mine, other in (halves, halves[::-1]):
         by: dict[str, list[str]] = {}
         for lang, t in other:
-            by.setdefault(lang, []).append(t)
+            by.setdefault(lang, []).append(plain(t))
         m = Trees(by)
         for ps, bits in split_bits(m, [t for _, t in mine]):
             if ps:
                 for p, k in zip(ps, best_path(bits), strict=True):
-                    clean.setdefault(m.langs[k], []).append(p)
+                    clean.setdefault(m.langs[k], []).append(plain(p))
     return Trees({k: ["".join(v)] for k, v in clean.items()})
 
 

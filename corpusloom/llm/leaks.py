@@ -11,6 +11,7 @@ Items are few by nature and are broadcast in blocks of bounded size; documents a
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import fold
 from .rolling import Prints, codes
 
-Q, TILE, RARE, BLOCK_CHARS, BATCH_CHARS = 8, 5, 8, 4_000_000, 1_500_000
+Q, TILE, RARE, BLOCK_CHARS, BATCH_CHARS = 8, 5, 3, 4_000_000, 1_500_000
+
+_FREE = re.compile(b"\0+")
 
 
 class Items:
@@ -35,32 +38,36 @@ class Items:
                 texts.setdefault(f, []).append(i)
         self.ids = list(texts.values())  # items of the same wording are searched once
         self.arrs = [codes(f) for f in texts]
-        h, owner = [], []
+        h, owner, place = [], [], []
         for k, a in enumerate(self.arrs):
-            x = np.unique(Prints(a).windows(min(Q, len(a))))
+            x, at = np.unique(Prints(a).windows(min(Q, len(a))), return_index=True)
             h.append(x)
+            place.append(at.astype(np.int32))
             owner.append(np.full(len(x), k, dtype=np.int32))
-        hs, ow = (np.concatenate(h), np.concatenate(owner)) if h else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        none = np.zeros(0, np.int32)
+        hs, ow, pl = (np.concatenate(h), np.concatenate(owner), np.concatenate(place)) if h else (np.zeros(0, np.uint64), none, none)
         _, inv, n = np.unique(hs, return_inverse=True, return_counts=True)
         rare = n[inv] <= RARE
         share = np.bincount(ow[rare], minlength=len(self.arrs)) / np.maximum(1, np.bincount(ow, minlength=len(self.arrs)))
         keep = rare | (share[ow] < 0.5)  # an item of common wording only keeps all its seeds
-        hs, ow = hs[keep], ow[keep]
+        hs, ow, pl = hs[keep], ow[keep], pl[keep]
         order = np.argsort(hs, kind="stable")
         self.seed, first = np.unique(hs[order], return_index=True)
         self.first = np.append(first, len(hs))
-        self.owner = ow[order]
+        self.owner, self.place = ow[order], pl[order]
         self.n = np.bincount(ow, minlength=len(self.arrs))
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.seed >> np.uint64(42)).astype(np.int64)] = True
         self.short = min((len(a) for a in self.arrs), default=Q) < Q
 
-    def candidates(self, arr: np.ndarray, doc: np.ndarray, least: float) -> list[tuple[int, int]]:
-        """(document, item) pairs that share at least the part ``least`` of the item's seeds."""
+    def candidates(self, arr: np.ndarray, doc: np.ndarray, start: np.ndarray, least: float) -> list[tuple[int, int, np.ndarray]]:
+        """(document, item, places) of pairs where at least the part ``least`` of the item's seeds stands
+        on the four fullest bands of diagonals (place in the document less place in the item); places are
+        the document's places of these seeds. Seeds scattered over stock phrases lie on many bands."""
         if len(self.seed) == 0 or len(arr) == 0:
             return []
         p = Prints(arr)
-        keys: list[np.ndarray] = []
+        pairs, places, diags = [], [], []
         for q in sorted({min(Q, len(a)) for a in self.arrs}) if self.short else [Q]:
             h = p.windows(q)
             at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
@@ -69,15 +76,32 @@ class Items:
             k[k == len(self.seed)] = 0
             ok = self.seed[k] == hh
             at, k = at[ok], k[ok]
-            pair = np.unique(doc[at].astype(np.int64) * len(self.seed) + k)  # a seed counts once in a document
-            d, k = pair // len(self.seed), pair % len(self.seed)
             n = self.first[k + 1] - self.first[k]
             src = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keys.append(np.repeat(d, n) * len(self.arrs) + self.owner[src])
-        u, n = np.unique(np.concatenate(keys), return_counts=True)
-        item = u % len(self.arrs)
-        hit = n >= np.maximum(1, least * self.n[item])
-        return list(zip((u[hit] // len(self.arrs)).tolist(), item[hit].tolist(), strict=True))
+            at = np.repeat(at, n)
+            d = doc[at].astype(np.int64)
+            pairs.append(d * len(self.arrs) + self.owner[src])
+            places.append(at - start[d])
+            diags.append(at - start[d] - self.place[src])
+        pair, place, diag = np.concatenate(pairs), np.concatenate(places), np.concatenate(diags)
+        u, inv, n = np.unique(pair, return_inverse=True, return_counts=True)
+        some = n >= np.maximum(1, least * self.n[u % len(self.arrs)])
+        sel = some[inv]
+        pair, place, diag = pair[sel], place[sel], diag[sel]
+        if len(pair) == 0:
+            return []
+        order = np.lexsort((diag, pair))
+        pair, place, diag = pair[order], place[order], diag[order]
+        edge = np.flatnonzero(np.r_[True, np.diff(pair) != 0, True])
+        out = []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            band = np.cumsum(np.r_[0, np.diff(diag[x:y]) > 12])  # a band ends where no seed follows within 12 diagonals
+            size = np.bincount(band)
+            best = np.argsort(-size, kind="stable")[:4]
+            item = int(pair[x] % len(self.arrs))
+            if size[best].sum() >= least * self.n[item]:
+                out.append((int(pair[x] // len(self.arrs)), item, place[x:y][np.isin(band, best)]))
+        return out
 
 
 def matches(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -104,19 +128,19 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = TILE) -> list[tuple[int, in
     """Greedy string tiling: longest matches first, nothing covered twice in a or in b."""
     heap = [(-n, i, j) for n, i, j in matches(a, b, least)]
     heapq.heapify(heap)
-    ua, ub = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+    ua, ub = bytearray(len(a)), bytearray(len(b))
     out = []
     while heap:
         n, i, j = heapq.heappop(heap)
         n = -n
-        used = ua[i : i + n] | ub[j : j + n]
-        if used.any():  # what is left of the match comes up again with its own length
-            free = np.flatnonzero(np.diff(np.r_[True, used, True].astype(np.int8)))
-            for x, y in zip(free[::2].tolist(), free[1::2].tolist(), strict=True):
+        if ua.find(1, i, i + n) >= 0 or ub.find(1, j, j + n) >= 0:
+            both = bytes(map(max, ua[i : i + n], ub[j : j + n]))
+            for m in _FREE.finditer(both):  # what is left of the match comes up again with its own length
+                x, y = m.span()
                 if y - x >= least:
                     heapq.heappush(heap, (x - y, i + x, j + x))
             continue
-        ua[i : i + n] = ub[j : j + n] = True
+        ua[i : i + n] = ub[j : j + n] = b"\1" * n
         out.append((i, j, n))
     return out
 
@@ -150,6 +174,19 @@ def two_passages(item: np.ndarray, doc: np.ndarray) -> tuple[float, int]:
     return float(mark.mean()), len(p)
 
 
+def near(doc: np.ndarray, places: np.ndarray, around: int) -> np.ndarray:
+    """The parts of a document within ``around`` of the places, with a break between parts."""
+    mark = np.zeros(len(doc) + 1, dtype=np.int32)
+    np.add.at(mark, np.maximum(0, places - around), 1)
+    np.add.at(mark, np.minimum(len(doc), places + around), -1)
+    inside = np.cumsum(mark)[:-1] > 0
+    cut = np.flatnonzero(np.diff(inside.astype(np.int8)) == -1) + 1
+    out = doc.copy()
+    out[cut[cut < len(out)]] = 0
+    inside[cut[cut < len(out)]] = True
+    return out[inside]
+
+
 def _scan(rows: list[tuple[int, str]], least: float, seeds: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Items(rows)
@@ -159,8 +196,8 @@ def _scan(rows: list[tuple[int, str]], least: float, seeds: float):
             arr = codes("\0".join(texts) + "\0")
             start = np.cumsum(size) - size
             out = []
-            for d, k in index.candidates(arr, np.repeat(np.arange(len(texts)), size), seeds):
-                part, n = two_passages(index.arrs[k], arr[start[d] : start[d] + size[d] - 1])
+            for d, k, at in index.candidates(arr, np.repeat(np.arange(len(texts)), size), start, seeds):
+                part, n = two_passages(index.arrs[k], near(arr[start[d] : start[d] + size[d] - 1], at, 2 * Q + len(index.arrs[k]) // 4))
                 if part >= least:
                     out += [(ids[d], i, part, n) for i in index.ids[k]]
             return pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "n_passages"])
@@ -183,7 +220,7 @@ def _scan(rows: list[tuple[int, str]], least: float, seeds: float):
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, least: float = 0.5, seeds: float = 0.12) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, least: float = 0.5, seeds: float = 0.18) -> DataFrame:
     """(doc_id, item_id, coverage, n_passages): documents that hold at least ``least`` of an item.
 
     ``least`` is the part of the item's letters and digits in at most two passages; ``seeds`` the part
