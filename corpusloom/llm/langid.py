@@ -220,7 +220,7 @@ def labelled_sample(docs: DataFrame, per_language: int = 160, longest: int = 600
     Bounded: documents of at most ``longest`` characters, a share of each language that gives
     ``per_language`` on average. Only the fitting is bounded; every document is labelled.
     """
-    d = docs.where(F.col("text").isNotNull()).select("doc_id", named_language(F.col("lang")).alias("named"), F.length("text").alias("n"), "text").where("named is not null and n between 20 and %d" % longest)
+    d = docs.where("doc_id is not null and text is not null").select("doc_id", named_language(F.col("lang")).alias("named"), F.length("text").alias("n"), "text").where("named is not null and n between 20 and %d" % longest)
     n = {r[0]: r[1] for r in d.groupBy("named").count().collect()}
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     take = F.lit(False)
@@ -271,7 +271,7 @@ def stretches(docs: DataFrame, per_language: int = 160) -> DataFrame:
     """
     sc = docs.sparkSession.sparkContext
     model = sc.broadcast(train(labelled_sample(docs, per_language)))
-    d = docs.select("doc_id", "text", named_language(F.col("lang")).alias("named")).where(F.col("text").isNotNull())
+    d = docs.select("doc_id", "text", named_language(F.col("lang")).alias("named")).where("doc_id is not null and text is not null")
     return d.mapInPandas(_label(model), "doc_id long, start_at int, end_at int, lang string, confidence double, stretches int, main string, named string")
 
 

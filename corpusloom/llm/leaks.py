@@ -224,11 +224,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: float = 0.5, seeds: f
     """(doc_id, item_id, coverage, n_passages): documents that hold at least ``least`` of an item.
 
     ``least`` is the part of the item's letters and digits in at most two passages; ``seeds`` the part
-    of its seeds a document needs to be tiled at all. Null and empty texts hold nothing and are held
+    of its seeds a document needs to be tiled at all. Null and empty texts and rows without id hold nothing and are held
     nowhere; items of the same wording are each reported; documents that come again are each reported.
     """
     out, block, held = None, [], 0
-    rows = items.where("text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator()
+    rows = items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator()
     blocks = []
     for r in rows:  # block by block; a block is at most BLOCK_CHARS and one item long
         block.append((r[0], r[1]))
@@ -238,7 +238,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: float = 0.5, seeds: f
             block, held = [], 0
     if block or not blocks:
         blocks.append(block)
-    d = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    d = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     for b in blocks:
         one = d.mapInPandas(_scan(b, least, seeds), "doc_id long, item_id long, coverage double, n_passages int")
         out = one if out is None else out.unionAll(one)

@@ -14,6 +14,7 @@ all texts by Spark, so the model does not grow with the corpus.
 from __future__ import annotations
 
 import math
+import operator
 import re
 import zlib
 from collections import Counter
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-REACH = 24
+REACH = 20
 OPEN, CLOSE = "「『“‘〈《（(〔［[", "」』”’〉》）)〕］]"
 _PAIR = dict(zip(CLOSE, OPEN, strict=True))
 _MARKS = "。．｡.！？!?…‥"
@@ -62,37 +63,6 @@ class Place:
         self.end, self.nxt, self.how, self.sep, self.close, self.open, self.depth = end, nxt, how, sep, close, opening, depth
 
 
-def depths(text: str, kind: str) -> tuple[list[int], dict[int, str]]:
-    """Open quotations and brackets after each character, and for each closing place what stands before its opening."""
-    out, stack, intro = [], [], {}
-    n = len(text)
-    for i, c in enumerate(text):
-        if c in OPEN:
-            stack.append((c, i))
-        elif c in _PAIR:
-            if c == "’" and (not stack or stack[-1][0] != "‘"):
-                pass
-            else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == _PAIR[c]:
-                        intro[i] = text[max(0, stack[k][1] - 2) : stack[k][1]]
-                        del stack[k:]
-                        break
-        elif c in "\"'＂":
-            before = text[i - 1] if i else " "
-            after = text[i + 1] if i + 1 < n else " "
-            top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-            if c == "'" and before.isalnum() and after.isalnum() and kind == "en":
-                pass
-            elif top is not None and not (before.isspace() and not after.isspace()):
-                intro[i] = text[max(0, stack[top][1] - 2) : stack[top][1]]
-                del stack[top:]
-            elif top is None and not after.isspace():
-                stack.append((c, i))
-        out.append(len(stack))
-    return out, intro
-
-
 def _first(text: str, at: int, kind: str) -> str:
     """How a sentence opens, numbers written as #."""
     while at < len(text) and text[at] in OPEN + "\"'" + _ENTRY:
@@ -130,71 +100,107 @@ def _last(text: str, end: int, kind: str) -> str:
     return text[max(0, j - 2) : j] + tag
 
 
+_SPECIAL = {
+    k: re.compile("[" + re.escape(_MARKS) + "]+|[" + re.escape(OPEN + CLOSE + "\"'＂") + "]|[○◯●◎]" + more)
+    for k, more in (("han", rf"|\s+|[{PARTICLES}]"), ("ja", r"|\s+"), ("ko", r"|\s*[\n\u2028\u2029\u3000]\s*|\s\s+"), ("en", r"|\s*[\n\u2028\u2029\u3000]\s*|\s\s+"))
+}
+_GO_ON = "、，,；;：:"
+
+
 def places(text: str, kind: str) -> list[Place]:
-    """All places where a sentence may end, in order; the last is the end of the text."""
-    n = len(text)
-    while n and text[n - 1].isspace():
-        n -= 1
+    """All places where a sentence may end, in order; the last is the end of the text.
+
+    One pass over the characters that matter: marks, quotations and brackets, separators, entry
+    marks and final particles. Quotations are followed on a stack, so each place knows how many are
+    open and, behind a closing one, what stands before its opening.
+    """
+    n = len(text.rstrip())
     if n == 0:
         return []
-    depth, intro = depths(text, kind)
     out: list[Place] = []
-    i = 0
-    while i < n:
+    stack: list[tuple[str, int]] = []
+    done = 0
+
+    def quote(i: int) -> int:
+        """Follow the quotation sign at i; place of the opening it closes, or -1."""
+        c = text[i]
+        if c in OPEN:
+            stack.append((c, i))
+        elif c in _PAIR:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == _PAIR[c]:
+                    at = stack[k][1]
+                    del stack[k:]
+                    return at
+        else:
+            before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "
+            top = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), -1)
+            if c == "'" and before.isalnum() and after.isalnum() and kind == "en":
+                return -1
+            if top >= 0 and not (before.isspace() and not after.isspace()):
+                at = stack[top][1]
+                del stack[top:]
+                return at
+            if top < 0 and not after.isspace():
+                stack.append((c, i))
+        return -1
+
+    for m in _SPECIAL[kind].finditer(text, 0, n):
+        i, j = m.span()
+        if i < done:
+            continue
         c = text[i]
         if c in _MARKS:
-            j = i + 1
-            while j < n and text[j] in _MARKS:
-                j += 1
-            end = j
-            while end < n and (text[end] in CLOSE or (text[end] in "\"'＂" and depth[end] < (depth[end - 1]))):
-                end += 1
-            dot = text[i:j]
-            number = dot in (".", "．") and j < n and (text[j].isdigit() and i > 0 and text[i - 1].isdigit())
-            letter = dot == "." and end == j and j < n and text[j].isascii() and text[j].isalnum() and i > 0 and text[i - 1].isascii()
-            if not number and not letter and (text[j : j + 1] not in ("、", "，", ",", "；", ";", "：", ":") and text[end : end + 1] not in ("、", "，", ",", "；", ";", "：", ":") or end == n):
-                how = "q" if any(text[k] in CLOSE + "\"'＂" for k in range(j, end)) else "e" if dot[0] in "…‥" or len(dot) >= 3 else "m"
-                close = _last(text, end, kind)
+            end, opened, closes = j, -1, False
+            while end < n and (text[end] in _PAIR or text[end] in "\"'＂"):
+                held = len(stack)
+                at = quote(end)
+                if len(stack) >= held:
+                    if len(stack) > held:
+                        stack.pop()  # it opens something behind the mark; followed again below
+                    break
+                opened, closes, end = at, True, end + 1
+            done = end
+            ascii_next = j < n and text[j].isascii() and text[j].isalnum()
+            number = j - i == 1 and c in ".．" and j < n and text[j].isdigit() and i > 0 and text[i - 1].isdigit()
+            letter = j - i == 1 and c == "." and end == j and ascii_next and i > 0 and text[i - 1].isascii()
+            if number or letter or text[j : j + 1] in _GO_ON and j < n or text[end : end + 1] in _GO_ON and end < n:
+                continue
+            how = "e" if c in "…‥" or j - i >= 3 else "m"
+            close = _last(text, end, kind)
+            if closes:
+                last = text[end - 1]
+                how = "b" if last in "）)〕］]" else "q"
                 if how == "q":
-                    last = text[end - 1]
-                    how = "b" if last in "）)〕］]" else "q"
-                    close = last + intro.get(end - 1, "") if how == "q" else close
-                out.append(_make(text, end, how, close, kind, depth, n))
-            i = max(end, j)
-            continue
-        if c.isspace():
-            j = i
-            while j < n and text[j].isspace():
-                j += 1
-            run = text[i:j]
-            if (not out or out[-1].end != i) and i > 0:
-                if "\n" in run or " " in run or " " in run:
-                    out.append(_make(text, i, "n", _last(text, i, kind), kind, depth, n))
-                elif kind in ("han", "ja") and (run != " " or True):
-                    out.append(_make(text, i, "w" if "　" in run or len(run) > 1 else "s", _last(text, i, kind), kind, depth, n))
-                elif len(run) > 1 or "　" in run:
-                    out.append(_make(text, i, "w", _last(text, i, kind), kind, depth, n))
-            i = j
-            continue
-        if c in "○◯●◎" and i > 0 and (not out or out[-1].nxt != i):
-            out.append(_make(text, i, "o", _last(text, i, kind), kind, depth, n))
-        elif kind == "han" and c in PARTICLES and i + 1 < n and not text[i + 1].isspace() and text[i + 1] not in _MARKS + CLOSE + "，、；：,;:":
-            out.append(_make(text, i + 1, "p", text[max(0, i - 1) : i + 1], kind, depth, n))
-        i += 1
+                    close = last + text[max(0, opened - 2) : max(0, opened)]
+            out.append(_make(text, end, how, close, kind, len(stack), n))
+        elif c.isspace():
+            if i > 0 and not (out and out[-1].end == i):
+                run = m.group()
+                how = "n" if "\n" in run or "\u2028" in run or "\u2029" in run else "w" if "\u3000" in run or len(run) > 1 else "s"
+                out.append(_make(text, i, how, _last(text, i, kind), kind, len(stack), n))
+        elif c in "○◯●◎":
+            if i > 0 and not (out and out[-1].nxt == i):
+                out.append(_make(text, i, "o", _last(text, i, kind), kind, len(stack), n))
+        elif c in PARTICLES and kind == "han" and c not in OPEN:
+            if j < n and not text[j].isspace() and text[j] not in _MARKS and text[j] not in CLOSE and text[j] not in _GO_ON:
+                out.append(_make(text, j, "p", text[max(0, i - 1) : j], kind, len(stack), n))
+        else:
+            quote(i)
     while out and out[-1].end >= n:
         out.pop()
-    out.append(Place(n, n, "z", "", _last(text, n, kind), "", depth[n - 1]))
+    out.append(Place(n, n, "z", "", _last(text, n, kind), "", len(stack)))
     return out
 
 
-def _make(text: str, end: int, how: str, close: str, kind: str, depth: list[int], n: int) -> Place:
+def _make(text: str, end: int, how: str, close: str, kind: str, depth: int, n: int) -> Place:
     nxt = end
     while nxt < n and text[nxt].isspace():
         nxt += 1
     e = end
     while e > 0 and text[e - 1].isspace():
         e -= 1
-    return Place(e, nxt, how, text[end:nxt] + ("○" if text[nxt : nxt + 1] in _ENTRY[:4] else ""), close, _first(text, nxt, kind), depth[e - 1] if e else 0)
+    return Place(e, nxt, how, text[end:nxt] + ("○" if text[nxt : nxt + 1] in _ENTRY[:4] else ""), close, _first(text, nxt, kind), depth)
 
 
 def marked(ps: list[Place], length: int) -> bool:
@@ -250,23 +256,24 @@ def observe(text: str, counts: Counter) -> None:
             if group != "q":
                 add(f"close{group}", p.close)
                 add(f"close{group}+", p.close)
+    raw = counts.setdefault(("raw", kind), Counter())
     if kind in ("en", "ko"):
-        for w in text.split():
-            f = _word(w, kind)
-            add("open", f)
-            add("open1", f[:1])
+        raw.update(text.split())
     else:
         t = _NUMERAL.sub("#", text)
-        for f, n in Counter(map("".join, zip(t, t[1:], strict=False))).items():
-            counts[kind, "open", f] += n
-            counts[kind, "open1", f[0]] += n
-        counts[kind, "open", None] += max(0, len(t) - 1)
-        counts[kind, "open1", None] += max(0, len(t) - 1)
+        raw.update(map(operator.add, t, t[1:]))
 
 
 def hashed(counts: Counter) -> Counter:
     """Counts by slot instead of feature: -1 for all, the size itself for sizes."""
     out: Counter = Counter()
+    for key in [k for k in counts if k[0] == "raw"]:
+        kind = key[1]
+        for w, n in counts.pop(key).items():
+            f = _word(w, kind) if kind in ("en", "ko") else w
+            for table, x in (("open", f), ("open1", f[:1])):
+                out[kind, table, _slot(x)] += n
+                out[kind, table, -1] += n
     for (kind, table, f), n in counts.items():
         out[kind, table, -1 if f is None else int(f[1:]) if table == "size+" else _slot(f)] += n
     return out
@@ -365,6 +372,8 @@ def ends(text: str, model: Model) -> list[int]:
             v = s0 + model.length(kind, p.end - start) - 6.0 * min(2, abs(p.depth - d0))
             if v > top:
                 top, arg = v, i
+            if i >= 0 and score[i] >= 5.0 and ps[i].depth == 0:
+                break  # no span reaches over a place as sure as this
         best.append(top + score[j])
         back.append(arg)
         if top == -math.inf:
@@ -385,7 +394,7 @@ def learn(texts: DataFrame) -> Model:
         for b in batches:
             for t in b["text"]:
                 observe(t, c)
-            if len(c) > 500_000:
+            if sum(len(v) for k, v in c.items() if k[0] == "raw") > 400_000:
                 total.update(hashed(c))
                 c.clear()
         total.update(hashed(c))
@@ -397,7 +406,7 @@ def learn(texts: DataFrame) -> Model:
 
 
 def sentence_ends(texts: DataFrame) -> DataFrame:
-    """(text_id, end_at): one row for each sentence. Null and blank texts have none."""
+    """(text_id, end_at): one row for each sentence. Null and blank texts and rows without text_id have none."""
     model = texts.sparkSession.sparkContext.broadcast(learn(texts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -406,7 +415,7 @@ def sentence_ends(texts: DataFrame) -> DataFrame:
             out = [(i, e) for i, t in zip(b["text_id"], b["text"], strict=True) for e in ends(t, m)]
             yield pd.DataFrame(out, columns=["text_id", "end_at"])
 
-    return texts.where("text is not null").select("text_id", "text").mapInPandas(run, "text_id long, end_at int")
+    return texts.where("text_id is not null and text is not null").select("text_id", "text").mapInPandas(run, "text_id long, end_at int")
 
 
 def sentences(texts: DataFrame) -> DataFrame:

@@ -77,6 +77,7 @@ class Unigram:
         self.low = min(self.score.values(), default=0.0) - self.UNKNOWN
         inner = {c for p in self.score if len(p) > 1 for c in p}
         self.inner = "".join(sorted(inner - {"▁"}))
+        self._inner = frozenset(inner | {"▁"})
         self._re = None
 
     def __getstate__(self):
@@ -88,7 +89,8 @@ class Unigram:
             self._re = re.compile(f"▁?[{cls}]+|▁?[^▁{cls}]|▁" if cls else "▁?[^▁]|▁", re.S)
         words = unicodedata.normalize("NFKC", text).split()
         out = self._re.findall("▁" + "▁".join(words)) if words else []
-        return out
+        # A single character outside all longer pieces is one token, known or not: one piece stands for all of them.
+        return [p if len(p) > 1 or p in self._inner else "\0" for p in out]
 
     def length(self, piece: str) -> int:
         n = len(piece)
@@ -129,9 +131,10 @@ def piece_frequencies(df: DataFrame, key: str, text: str, tokenizer) -> DataFram
                     ids.append(i)
                     ps.append(p)
                     ns.append(n)
-            yield pd.DataFrame({key: ids, "piece": ps, "n": ns})
+            if ids:
+                yield pd.DataFrame({key: ids, "piece": ps, "n": ns})
 
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} long, piece string, n long")
+    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} long, piece string, n long")
 
 
 def piece_lengths(pieces: DataFrame, length: Callable[[str], int]) -> DataFrame:
@@ -139,6 +142,8 @@ def piece_lengths(pieces: DataFrame, length: Callable[[str], int]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if len(b) == 0:
+                continue
             yield pd.DataFrame({"piece": b["piece"], "tokens": [length(p) for p in b["piece"]]})
 
     return pieces.select("piece").distinct().mapInPandas(run, "piece string, tokens long")
@@ -147,12 +152,12 @@ def piece_lengths(pieces: DataFrame, length: Callable[[str], int]) -> DataFrame:
 def token_counts(df: DataFrame, key: str, text: str, tokenizer) -> DataFrame:
     """(key, tokens): exact number of tokens of each document; null and blank texts have 0.
 
-    Ids that repeat are summed. A stock piece is one row per document before the join; a piece in a
+    Rows without key are left out; keys that repeat are summed. A stock piece is one row per document before the join; a piece in a
     great part of all documents is a skewed key of the join that adaptive execution splits.
     """
     freq = piece_frequencies(df, key, text, tokenizer)
     got = freq.join(piece_lengths(freq, tokenizer.length), "piece").groupBy(key).agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
-    return df.select(key).distinct().join(got, key, "left").select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return df.select(key).where(F.col(key).isNotNull()).distinct().join(got, key, "left").select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
 def token_totals(texts: DataFrame, tokenizer) -> DataFrame:
