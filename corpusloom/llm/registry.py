@@ -111,7 +111,22 @@ QUERIES = {
         p6_public_totals, p7_found, p7_sentences, p8_pack, p8_fill, p9_found, p9_coverage, p10_found, p10_stretches,
     )
 }
-SQL: dict[str, str] = {}
+_WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+_TRIM = "nullif(regexp_replace(COLUMN, '^" + _WS + "+|" + _WS + "+$', '', 'g'), '')"
+_DAY = _TRIM.replace("COLUMN", "date_id")
+_ID = "regexp_replace(lower(" + _TRIM.replace("COLUMN", "meta_data_id_hj") + "), '^w', 'k')"
+
+SQL: dict[str, str] = {
+    "p3_found": f"""
+        with recursive e as (select distinct {_ID} as id, {_DAY} as day from aligned_corpus),
+        f as (select * from e where id is not null and day is not null),
+        adj as (select distinct a.id as x, b.id as y from f a join f b on a.day = b.day),
+        r(x, y) as (select x, y from adj union select r.x, adj.y from r join adj on r.y = adj.x),
+        comp as (select x as id, min(y) as label from r group by x),
+        p as (select {_ID} as id, split from parallel_pair)
+        select min(p.id) as group_id from p left join comp on p.id = comp.id where p.id is not null
+        group by coalesce(comp.label, p.id) having count(distinct split) > 1""",
+}
 
 
 def queries():

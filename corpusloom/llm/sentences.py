@@ -335,8 +335,11 @@ class Model:
         if p.how == "b":
             return 2.5 + 0.5 * o + (2.0 if strong else 0.0) - (5.0 if lower else 0.0) if kind in ("en", "ko") else (1.0 if p.sep else -3.0) + o
         if p.how in "qe":
-            r = self.ratio(kind, f"close{p.how}", p.close) if p.how == "e" or kind in ("han", "ja") else 0.0
-            base = 2.0 + 1.2 * r + 0.7 * o + (2.0 if p.sep and (sep or strong) else -2.5 if sep and not p.sep else 0.0)
+            extra = 2.0 if p.sep and (sep or strong) else -2.5 if sep and not p.sep else 0.0
+            if p.how == "q" and kind in ("han", "ja"):
+                base = 1.0 + 2.0 * self.ratio(kind, "closeq", p.close) + 0.5 * o + extra
+            else:
+                base = 2.0 + (1.2 * self.ratio(kind, "closee", p.close) if p.how == "e" else 0.0) + 0.7 * o + extra
             if kind == "ko" and p.how == "q":
                 base -= 3.0
             return base - (6.0 if lower else 0.0)

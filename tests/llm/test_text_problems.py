@@ -55,7 +55,7 @@ def test_cross_split_against_brute_force(spark):
     live = [(r[0], r[1], fold(r[2])) for r in rows if r[0] is not None and r[1] and r[2] and fold(r[2])]
     for a, sa, x in live:
         for b, sb, y in live:
-            if sa == "train" and sb != "train" and len(x) < 5000 and edit(x, y) <= (max(1, int(overlap.WRONG * max(len(x), len(y)))) if min(len(x), len(y)) >= 5 else 0):
+            if sa == "train" and sb != "train" and len(x) < 5000 and edit(x, y) <= int(overlap.WRONG * max(len(x), len(y))):
                 want.add((min(a, b), max(a, b)))
     want.add((9005, 9006))
     got = [tuple(r) for r in overlap.cross_split(d).collect()]
