@@ -17,6 +17,11 @@ _ITEM = f"(?s)<{SIGN}([^>]+)>(.*?)</{SIGN}\\1>|((?:(?!</?{SIGN}).)+)"
 _ITEMS = "array<struct<text:string,name:string>>"
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def to_items(c: Column) -> Column:
     """Items of a tagged text, in order; null where tags are broken or the text is null."""
     names = F.regexp_extract_all(c, F.lit(_ITEM), F.lit(1))
@@ -159,7 +164,10 @@ def transfer_punctuation(items: Column, text: Column) -> Column:
 
     ``text`` must hold the same characters; a run after the last character of an entity goes outside it.
     """
-    after = punctuation_after(text)
+    return let(punctuation_after(text), lambda after: _transfer(items, text, after))
+
+
+def _transfer(items: Column, text: Column, after: Column) -> Column:
     lead = F.regexp_extract(text, f"^{PUNC_RUN}+", 0)
     empty = F.expr(f"cast(struct(0 as n, cast(array() as {_ITEMS}) as out) as struct<n:int,out:{_ITEMS}>)")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +27,34 @@ def tokens_char(c: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(c, r"[\s\p{Z}]+", ""), F.lit("(?s)."), F.lit(0))
 
 
-def _ngrams(t: Column, n: int) -> Column:
-    k = F.size(t) - (n - 1)
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\u0001"))).otherwise(F.array().cast("array<string>"))
+def _statistics(order: int):
+    """Arrow function of hypothesis and reference tokens: lengths, clipped matches and totals of all orders.
 
+    Counting the n-grams of a pair is linear here; as a higher-order expression it would compare all
+    n-grams with all others, and exploding them would shuffle every n-gram of the corpus.
+    """
+    names = ["hyp_len", "ref_len", *[f"{x}{n}" for n in range(1, order + 1) for x in "mt"]]
+
+    @F.pandas_udf("struct<" + ",".join(f"{n}:int" for n in names) + ">")
+    def run(h: pd.Series, r: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(h, r, strict=True):
+            x, y = list(x), list(y)
+            row = [len(x), len(y)]
+            for n in range(1, order + 1):
+                a, b = Counter(zip(*[x[i:] for i in range(n)], strict=False)), Counter(zip(*[y[i:] for i in range(n)], strict=False))
+                row += [sum((a & b).values()), max(0, len(x) - n + 1)]
+            out.append(row)
+        return pd.DataFrame(out, columns=names, dtype="int32")
 
-def _clipped(h: Column, r: Column) -> Column:
-    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    return F.aggregate(F.array_distinct(h), F.lit(0), lambda acc, x: acc + F.least(times(h, x), times(r, x)).cast("int"))
+    return run
 
 
 def bleu_statistics(df: DataFrame, hyp: str, ref: str, tokens=tokens_char, order: int = 4) -> DataFrame:
     """Per row: clipped matches m1..m4, totals t1..t4 and both lengths. A null hypothesis is an empty one; rows without reference go."""
-    d = df.where(F.col(ref).isNotNull()).withColumn("_h", tokens(F.coalesce(hyp, F.lit("")))).withColumn("_r", tokens(F.col(ref)))
-    cols: dict[str, Column] = {"hyp_len": F.size("_h"), "ref_len": F.size("_r")}
-    for n in range(1, order + 1):
-        h, r = _ngrams(F.col("_h"), n), _ngrams(F.col("_r"), n)
-        cols[f"m{n}"], cols[f"t{n}"] = _clipped(h, r), F.size(h)
-    return d.withColumns(cols).drop("_h", "_r")
+    d = df.where(F.col(ref).isNotNull())
+    s = d.withColumn("_s", _statistics(order)(tokens(F.coalesce(hyp, F.lit(""))), tokens(F.col(ref))))
+    return s.select(*df.columns, "_s.*")
 
 
 def bleu_of_sums(order: int = 4) -> Column:
