@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK
 
-ORDER, SWITCH = 4, 40.0
+ORDER, SWITCH, TRAIN_SWITCH, NOISE = 4, 30.0, 12.0, 0.3
 LANGS = ("hj", "ko", "zh", "en", "ja")
 # Codes that name a language.
 CODES = {
@@ -81,19 +81,49 @@ def windows(b: np.ndarray, order: int) -> np.ndarray:
     return w
 
 
+def _without_noise(raw: list, data: list[np.ndarray], docs: list[np.ndarray], k: int) -> list:
+    """Windows and counts of each language without those that are another language's in the wrong place."""
+    keys = np.unique(np.concatenate([w for w, _ in raw]))
+    share = np.zeros((len(keys), len(raw)), dtype=np.float32)
+    for j, (d, doc) in enumerate(zip(data, docs, strict=True)):
+        w, n = np.unique(np.unique(windows(d, k) << np.uint64(24) | doc) >> np.uint64(24), return_counts=True)
+        share[np.searchsorted(keys, w), j] = n / (int(doc[-1]) + 1)
+    keep = share >= NOISE * share.max(axis=1, keepdims=True)
+    out = []
+    for j, (w, c) in enumerate(raw):
+        ok = keep[np.searchsorted(keys, w), j] if int(docs[j][-1]) >= 3 else np.ones(len(w), dtype=bool)
+        out.append((w[ok], c[ok]))
+    return out
+
+
 class Trees:
-    """Context trees of several languages with frozen counts."""
+    """Context trees of several languages with frozen counts.
+
+    ``texts`` gives the documents of each language, some of them wrongly labelled. Windows of three
+    bytes and more that a language's documents hold far less often than another language's do (less
+    than ``NOISE`` of the greatest share of documents) count as label noise and are left out.
+    """
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.langs = tuple(x for x in LANGS if texts.get(x)) or ("en",)
         self.order = order
         n = len(self.langs)
-        data = [np.frombuffer(("\n".join(texts.get(x, ["a"])) + "\n").encode("utf-8", "ignore"), dtype=np.uint8) for x in self.langs]
+        data, docs = [], []
+        for x in self.langs:
+            raw = [(t + "\n").encode("utf-8", "ignore") for t in texts.get(x, ["a"])]
+            data.append(np.frombuffer(b"".join(raw), dtype=np.uint8))
+            docs.append(np.repeat(np.arange(len(raw), dtype=np.uint64), [len(r) for r in raw]))
         self.win, self.bits, self.ctx, self.esc = [], [], [], []
         for k in range(order + 1):
             seen = []
-            for d in data:
-                w, c = np.unique(windows(d, k), return_counts=True)
+            raw = [np.unique(windows(d, k), return_counts=True) for d in data]
+            if k >= 2:
+                raw = _without_noise(raw, data, docs, k)
+            for w, c in raw:
+                if len(w) == 0:
+                    none = np.zeros(0, dtype=np.int64)
+                    seen.append((w, c, w, none, none))
+                    continue
                 cx, first = np.unique(w >> np.uint64(8), return_index=True)
                 distinct = np.diff(np.r_[first, len(w)])
                 total = np.add.reduceat(c, first)
@@ -143,13 +173,23 @@ class Trees:
         return out
 
 
-def plain(text: str) -> str:
-    """Text as the trees see it: compatibility forms unified, blanks as one."""
-    if text.isascii():
-        return text
-    if not unicodedata.is_normalized("NFKC", text):
-        text = unicodedata.normalize("NFKC", text)
-    return text
+_BRACKETS = re.compile(r"[(（〔\[《〈「『][^)）〕\]》〉」』]*[)）〕\]》〉」』]")
+_HANGUL, _HAN_RUN = re.compile("[가-힣]"), re.compile("[\u3400-\u9fff\uf900-\ufaff々〇]+")
+
+
+def plain(piece: str) -> str:
+    """A sentence as the trees see it: compatibility forms unified; in a sentence written in Hangul the
+    words in Chinese characters are left out, as nouns in other letters say nothing about its language."""
+    if piece.isascii():
+        return piece
+    if not unicodedata.is_normalized("NFKC", piece):
+        piece = unicodedata.normalize("NFKC", piece)
+    if _HANGUL.search(piece) and _HAN_RUN.search(piece):
+        bare = _BRACKETS.sub("", piece)
+        n = len(_HANGUL.findall(bare))
+        if n >= 3 and n * 4 >= sum(map(len, _HAN_RUN.findall(bare))):
+            return _HAN_RUN.sub("", piece)
+    return piece
 
 
 def pieces(text: str) -> list[str]:
@@ -201,17 +241,17 @@ def train(sample: list[tuple[str, str]]) -> Trees:
     language in the final trees.
     """
     halves = [sample[::2], sample[1::2]]
-    clean: dict[str, list[str]] = {}
-    for mine, other in (halves, halves[::-1]):
+    clean: dict[str, dict[int, list[str]]] = {}
+    for part, (mine, other) in enumerate((halves, halves[::-1])):
         by: dict[str, list[str]] = {}
         for lang, t in other:
-            by.setdefault(lang, []).append(plain(t))
+            by.setdefault(lang, []).append("".join(map(plain, pieces(t))))
         m = Trees(by)
-        for ps, bits in split_bits(m, [t for _, t in mine]):
+        for i, (ps, bits) in enumerate(split_bits(m, [t for _, t in mine])):
             if ps:
-                for p, k in zip(ps, best_path(bits), strict=True):
-                    clean.setdefault(m.langs[k], []).append(plain(p))
-    return Trees({k: ["".join(v)] for k, v in clean.items()})
+                for p, k in zip(ps, best_path(bits, TRAIN_SWITCH), strict=True):
+                    clean.setdefault(m.langs[k], {}).setdefault(2 * i + part, []).append(plain(p))
+    return Trees({k: ["".join(p) for p in v.values()] for k, v in clean.items()})
 
 
 def labelled_sample(docs: DataFrame, per_language: int = 160, longest: int = 6000) -> list[tuple[str, str]]:

@@ -32,7 +32,7 @@ _MARKS = "。．｡.！？!?…‥"
 _ENTRY = "○◯●◎〇"
 # Particles that close a sentence of classical Chinese.
 PARTICLES = "矣焉也云哉耳乎"
-_HAN = re.compile("[㐀-鿿豈-﫿]")
+_HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff]")
 _KANA = re.compile("[぀-ヺ]")
 _HANGUL = re.compile("[가-힣]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
