@@ -187,8 +187,8 @@ def places(text: str, kind: str) -> list[Place]:
                 out.append(_make(text, j, "p", text[max(0, i - 1) : j], kind, len(stack), n))
         else:
             quote(i)
-    while out and out[-1].end >= n:
-        out.pop()
+    lead = len(text) - len(text.lstrip())
+    out = [p for p in out if lead < p.end < n]
     out.append(Place(n, n, "z", "", _last(text, n, kind), "", len(stack)))
     return out
 
