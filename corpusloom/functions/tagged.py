@@ -62,22 +62,30 @@ def to_iob(items: Column) -> Column:
     return F.flatten(F.transform(items, one))
 
 
+_SPAN = "\u0001([^\u0002]*)\u0002([^\u0001\u0003]*)|\u0003([^\u0001\u0003]+)"
+
+
 def from_iob(pairs: Column) -> Column:
-    """Items of labelled characters: B- opens, I- goes on with the open item whatever its own label, a stray I- is plain."""
-    empty = F.expr(f"cast(array() as {_ITEMS})")
+    """Items of labelled characters: B- opens, I- goes on with the open item whatever its own label, a stray I- is plain.
 
+    One pass writes the tokens with control signs where an item begins; the signs U+0001 to U+0003 must
+    not be tokens themselves.
+    """
     def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        body = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        add = lambda text, name: F.struct(text.alias("text"), name.cast("string").alias("name"))
         opens = x["tag"].startswith("B-")
-        goes = x["tag"].startswith("I-") & (F.size(acc) > 0) & last["name"].isNotNull()
-        joins = ~opens & ~goes & (F.size(acc) > 0) & last["name"].isNull()
-        longer = lambda name: F.concat(body, F.array(add(F.concat(last["text"], x["token"]), name)))
-        new = F.concat(acc, F.array(add(x["token"], F.when(opens, F.substring(x["tag"], 3, 1000)))))
-        return F.when(goes | joins, longer(last["name"])).otherwise(new)
+        goes = x["tag"].startswith("I-") & acc["open"]
+        begins = F.concat(F.lit("\u0001"), F.substring(x["tag"], 3, 1000), F.lit("\u0002"), x["token"])
+        plain = F.when(acc["open"] | (acc["out"] == ""), F.concat(F.lit("\u0003"), x["token"])).otherwise(x["token"])
+        return F.struct(F.concat(acc["out"], F.when(opens, begins).when(goes, x["token"]).otherwise(plain)).alias("out"), (opens | goes).alias("open"))
+
+    empty = F.struct(F.lit("").alias("out"), F.lit(False).alias("open"))
+    signed = F.aggregate(pairs, empty, step)["out"]
+
+    def parts(c: Column) -> Column:
+        got = [F.regexp_extract_all(c, F.lit(_SPAN), F.lit(k)).alias(n) for k, n in ((1, "n"), (2, "t"), (3, "p"))]
+        return F.transform(F.arrays_zip(*got), lambda x: F.struct(F.when(x["p"] != "", x["p"]).otherwise(x["t"]).alias("text"), F.when(x["p"] == "", x["n"]).alias("name"))).cast(_ITEMS)
 
-    return F.aggregate(pairs, empty, step)
+    return let(signed, parts)
 
 
 def relabel(c: Column, mapping: dict[str, str], keep_unmapped: bool = True) -> Column:
