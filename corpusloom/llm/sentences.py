@@ -32,15 +32,25 @@ _MARKS = "。．｡.！？!?…‥"
 _ENTRY = "○◯●◎〇"
 # Particles that close a sentence of classical Chinese.
 PARTICLES = "矣焉也云哉耳乎"
-_HAN = re.compile("[\u3400-\u9fff\uf900-\ufaff]")
-_KANA = re.compile("[぀-ヺ]")
-_HANGUL = re.compile("[가-힣]")
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
+
+
+class _Scripts(dict):
+    """translate() table of script signs, filled on demand: h Han, k kana, g Hangul, l Latin."""
+
+    def __missing__(self, cp: int) -> str | None:
+        c = chr(cp)
+        out = "h" if 0x3400 <= cp <= 0x9FFF or 0xF900 <= cp <= 0xFAFF else "k" if 0x3040 <= cp <= 0x30FA else "g" if 0xAC00 <= cp <= 0xD7A3 else "l" if cp < 0x250 and c.isalpha() and cp not in (0xAA, 0xB5, 0xBA) else None
+        self[cp] = out
+        return out
+
+
+_SCRIPTS = _Scripts()
 
 
 def kind_of(text: str) -> str:
     """ja, ko, en (any alphabet) or han, by the letters of the text."""
-    han, kana, hangul, latin = (len(p.findall(text)) for p in (_HAN, _KANA, _HANGUL, _LATIN))
+    signs = text.translate(_SCRIPTS)
+    han, kana, hangul, latin = (signs.count(x) for x in "hkgl")
     if kana * 8 > han + kana and kana * 2 > latin:
         return "ja"
     if hangul > latin and hangul * 2 > han:
@@ -285,6 +295,7 @@ class Model:
     def __init__(self, counts: dict[tuple[str, str, int], int]):
         self.c = counts
         self.memo: dict[tuple, float] = {}
+        self.sizes: dict[str, dict[int, float]] = {}
 
     def ratio(self, kind: str, table: str, feature: str, k: float = 2.0) -> float:
         key = (kind, table, feature)
@@ -306,13 +317,13 @@ class Model:
         return full if kind == "en" else 0.6 * full + 0.4 * self.ratio(kind, "open1", feature[:1])
 
     def length(self, kind: str, size: int) -> float:
-        key = (kind, "size", size)
-        got = self.memo.get(key)
+        memo = self.sizes.setdefault(kind, {})
+        got = memo.get(size)
         if got is None:
             at = min(40, int(4 * math.log2(max(1, size))))
             near = sum(self.c.get((kind, "size+", at + d), 0) * w for d, w in ((-2, 0.5), (-1, 1), (0, 1), (1, 1), (2, 0.5)))
             best = max((self.c.get((kind, "size+", x), 0) for x in range(41)), default=0) * 3 + 1
-            got = self.memo[key] = max(-2.0, 0.3 * math.log((near + 0.5) / best))
+            got = memo[size] = max(-2.0, 0.3 * math.log((near + 0.5) / best))
         return got
 
     def boundary(self, p: Place, kind: str, use_marks: bool, sep: bool, wide: bool) -> float:
@@ -366,21 +377,28 @@ def ends(text: str, model: Model) -> list[int]:
     score = [model.boundary(p, kind, use_marks, sep, wide) for p in ps]
     best: list[float] = []
     back: list[int] = []
+    length, sizes = model.length, model.sizes.setdefault(kind, {})
+    start, depth, sure = [p.nxt for p in ps], [p.depth for p in ps], [x >= 5.0 and p.depth == 0 for x, p in zip(score, ps, strict=True)]
     for j, p in enumerate(ps):
-        top, arg = -math.inf, -1
-        for i in range(j - 1, max(-2, j - 1 - REACH), -1):
-            start, d0, s0 = (lead, 0, 0.0) if i < 0 else (ps[i].nxt, ps[i].depth, best[i])
-            if p.end <= start:
-                continue
-            v = s0 + model.length(kind, p.end - start) - 6.0 * min(2, abs(p.depth - d0))
-            if v > top:
-                top, arg = v, i
-            if i >= 0 and score[i] >= 5.0 and ps[i].depth == 0:
-                break  # no span reaches over a place as sure as this
-        best.append(top + score[j])
+        top, arg, end, d = -math.inf, -1, p.end, p.depth
+        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
+            size = end - start[i]
+            if size > 0:
+                n = sizes.get(size)
+                v = best[i] + (length(kind, size) if n is None else n)
+                if d != depth[i]:
+                    v -= 6.0 * min(2, abs(d - depth[i]))
+                if v > top:
+                    top, arg = v, i
+                if sure[i]:
+                    break  # no span reaches over a place as sure as this
+        else:
+            if j < REACH and end > lead:
+                v = length(kind, end - lead) - 6.0 * min(2, d)
+                if v > top:
+                    top, arg = v, -1
+        best.append(top + score[j] if top > -math.inf else -1e9)
         back.append(arg)
-        if top == -math.inf:
-            best[-1] = -1e9
     out, j = [], len(ps) - 1
     while j >= 0:
         out.append(ps[j].end)
