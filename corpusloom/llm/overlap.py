@@ -1,21 +1,21 @@
 """Problem 5: the same or nearly the same records across splits.
 
 Texts are folded and grouped into classes of the same wording; all further work is on one text of
-each class. Passages of evaluation texts are found in training texts in three steps:
-
-1. Routing. Each text gives anchors: minimizers of short and of long windows, and for short texts
-   all forms with one character left out. A training text goes to the shards of those evaluation
-   texts that share anchors with it. A short window is left out where so many texts share it that
-   its pairs exceed ``HOT``; the long windows, which have no limit, stand for it. Counts are
-   aggregated before any join, so stock phrases cost one row.
-2. Scan. Each shard builds one Aho-Corasick automaton of the passages of its evaluation texts and
-   scans the training texts routed to it; matched intervals are merged into coverage.
-3. An exact edit distance confirms the pairs with enough coverage.
+each class. No pair within the bound of ``WRONG`` can be missed:
+
+1. Seeds by pigeonhole. A training text of n code points has at most k = ``most_edits(n)`` edits to
+   any partner, so of its k + 1 disjoint pieces one stands unchanged in the evaluation text, moved by
+   at most k. Pieces are joined with all windows of the evaluation texts, by content and place.
+2. Signatures. The parities of 128 classes of code points differ in at most two bits for each edit;
+   pairs that differ in more go within the join, so that stock phrases, however common, need no limit.
+3. Coverage by passages of 4 code points, which k edits cannot bring below ``COVERAGE``, and then the
+   exact edit distance decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,59 +24,73 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import fold, source_name
-from .rolling import Prints, codes, minimizers, mix
+from .rolling import Prints, codes, mix
 
-HOT = 400
-SHORT = 24
+PIECE = 6
+PLACES = 32
 WRONG = 0.12
 PASSAGE = 4
 COVERAGE = 0.4
 
 
-def levels(arr: np.ndarray) -> list[tuple[int, int]]:
-    """(window, spread) of short and long anchors, by the text's main script."""
-    latin = np.count_nonzero(arr < 0x250)
-    hangul = np.count_nonzero((arr >= 0xAC00) & (arr < 0xD7B0))
-    if latin * 2 > len(arr):
-        return [(24, 24), (60, 50)]
-    if hangul * 2 > len(arr):
-        return [(12, 10), (30, 24)]
-    return [(9, 9), (24, 20)]
+def most_edits(n: int) -> int:
+    """Most edits between a text of n code points and any partner; a partner has at most n / (1 - WRONG)."""
+    return int(WRONG * n / (1 - WRONG) + 1e-9)
 
 
-def anchors(text: str) -> tuple[list[np.ndarray], list[int]]:
-    """Fingerprints of a folded text and their kinds: 0 short window (may be hot), 1 the others."""
-    arr = codes(text)
-    p = Prints(arr)
-    out, kinds = [], []
-    for k, (q, w) in enumerate(levels(arr)):
+@lru_cache(1 << 16)
+def layout(n: int) -> tuple[int, int, int]:
+    """(number, stride, length) of the pieces of a training text of n code points; none where k is 0."""
+    k = most_edits(n)
+    return (k + 1, n // (k + 1), min(PIECE, n // (k + 1))) if k else (0, 0, 0)
+
+
+@lru_cache(1 << 16)
+def window_lengths(n: int) -> tuple[int, ...]:
+    """Lengths of the pieces of all training texts that may be partners of an evaluation text of n code points."""
+    k = most_edits(n)
+    return tuple(sorted({layout(m)[2] for m in range(max(1, n - k), n + k + 1)} - {0}))
+
+
+def pieces(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of the disjoint pieces of a training text: a key for each block of places where the piece may stand."""
+    n, step, q = layout(len(text))
+    at = np.arange(n) * step
+    h, k = Prints(codes(text)).at(at, at + q), most_edits(len(text))
+    lo, hi = np.maximum(0, at - k) // PLACES, (at + k) // PLACES
+    times = hi - lo + 1
+    block = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return mix(np.repeat(h, times) + block.astype(np.uint64)), np.repeat(at, times)
+
+
+def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of all windows of an evaluation text that may be pieces of a partner."""
+    p, out, at = Prints(codes(text)), [], []
+    for q in window_lengths(len(text)):
         h = p.windows(q)
-        if len(h):
-            out.append(h[minimizers(h, w)] ^ np.uint64(k))
-            kinds.append(k)
-    if len(arr) <= SHORT:
-        forms = {text} | {text[:i] + text[i + 1 :] for i in range(len(text))}
-        whole = [Prints(c).windows(len(c))[0] for f in sorted(forms) if len(c := codes(f))]
-        out.append(np.array(whole, dtype=np.uint64) ^ np.uint64(2))
-        kinds.append(1)
-    return out, kinds
-
-
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        hs, cid, size, role, kind = [], [], [], [], []
-        for c, t, r in zip(b["cid"], b["folded"], b["role"], strict=True):
-            a, ks = anchors(t)
-            for h, k in zip(a, ks, strict=True):
-                h = np.unique(h)
-                hs.append(h)
-                n = len(h)
-                cid.append(np.full(n, c, dtype=np.int64))
-                size.append(np.full(n, len(t), dtype=np.int32))
-                role.append(np.full(n, r, dtype=np.int8))
-                kind.append(np.full(n, k, dtype=np.int8))
-        if hs:
-            yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "cid": np.concatenate(cid), "size": np.concatenate(size), "role": np.concatenate(role), "kind": np.concatenate(kind)})
+        at.append(np.arange(len(h)))
+        out.append(mix(h + (at[-1] // PLACES).astype(np.uint64)))
+    return (np.concatenate(out), np.concatenate(at)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def signature(text: str) -> np.ndarray:
+    """Two 64-bit words: parities of the counts of 128 classes of code points."""
+    x = mix(codes(text).astype(np.uint64)) & np.uint64(127)
+    return np.packbits((np.bincount(x.astype(np.int64), minlength=128) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _emit(seeds):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for b in (whole.iloc[i : i + 1000] for i in range(0, len(whole), 1000)):
+                got = [seeds(t) for t in b["folded"]]
+                n = np.array([len(h) for h, _ in got], dtype=np.int64)
+                if n.sum():
+                    s = np.repeat(np.array([signature(t) for t in b["folded"]]), n, axis=0)
+                    size = np.repeat(b["folded"].str.len().to_numpy(dtype=np.int32), n)
+                    yield pd.DataFrame({"h": np.concatenate([h for h, _ in got]).view(np.int64), "cid": np.repeat(b["cid"].to_numpy(), n), "size": size, "at": np.concatenate([at for _, at in got]).astype(np.int32), "s1": s[:, 0], "s2": s[:, 1]})
+
+    return run
 
 
 def distance_at_most(a: str, b: str, k: int) -> int:
@@ -187,16 +201,13 @@ def text_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_classes(texts: DataFrame) -> DataFrame:
     """(e, t, edits, coverage): evaluation class and another training class of nearly the same text."""
-    a = cut(texts.mapInPandas(_emit, "h long, cid long, size int, role tinyint, kind tinyint"), "anchors")
-    t = F.col("role").bitwiseAND(1)
-    e = F.col("role").bitwiseAND(2) / 2
-    both = a.groupBy("h", "kind").agg(F.sum(t).alias("nt"), F.sum(e).cast("long").alias("ne")).where("nt > 0 and ne > 0 and (kind = 1 or nt * ne <= %d)" % HOT)
-    live = a.drop("kind").join(both.select("h"), "h")
-    left = live.where("role >= 2").select("h", F.col("cid").alias("e"), F.col("size").alias("se"))
-    right = live.where("role in (1, 3)").select("h", F.col("cid").alias("t"), F.col("size").alias("st"))
-    near = left.join(right, "h").where("e <> t and abs(se - st) <= 2 + %f * greatest(se, st)" % WRONG)
-    # A tenth of the anchors two texts of this length would share if they were the same.
-    cand = cut(near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n"), F.max("se").alias("se")).where("n * 50 >= se").select("e", "t"), "candidates")
+    texts = cut(texts, "texts")
+    kinds = "h long, cid long, size int, at int, s1 long, s2 long"
+    left = texts.where("role in (2, 3)").mapInPandas(_emit(windows), kinds).alias("x")
+    right = texts.where("role in (1, 3)").mapInPandas(_emit(pieces), kinds).alias("y")
+    k = "int(%r * greatest(x.size, y.size) + 1e-9)" % WRONG
+    near = f"x.h = y.h and x.cid <> y.cid and abs(x.size - y.size) <= {k} and abs(x.at - y.at) <= {k} and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= 2 * {k}"
+    cand = cut(left.join(right, F.expr(near)).select(F.col("x.cid").alias("e"), F.col("y.cid").alias("t")).distinct(), "candidates")
     x = cand.join(texts.select(F.col("cid").alias("e"), F.col("folded").alias("e_text")), "e")
     x = x.join(texts.select(F.col("cid").alias("t"), F.col("folded").alias("t_text")), "t")
     return x.select("e", "t", "e_text", "t_text").mapInPandas(_verify, "e long, t long, edits int, coverage double")

@@ -65,6 +65,25 @@ def test_cross_split_against_brute_force(spark):
     assert sum(r.records for r in rep) == sum(1 for r in rows if r[1] and r[1] != "train")
 
 
+def test_cross_split_at_one_error_in_ten(spark):
+    rng = random.Random(5)
+    scripts = {"latin": [chr(97 + i) for i in range(26)], "hangul": [chr(0xAC00 + 7 * i) for i in range(600)], "han": [chr(0x4E00 + i) for i in range(2000)]}
+    rows, want = [], set()
+    for letters in scripts.values():
+        for n in (10, 20, 30, 50, 85, 200, 445):
+            for _ in range(6):
+                t = [rng.choice(letters) for _ in range(n)]
+                x = t[:]
+                for i in rng.sample(range(n), n // 10):
+                    x[i] = rng.choice(letters) if rng.random() < 0.6 else rng.choice(("", x[i] + rng.choice(letters)))
+                want.add((len(rows), len(rows) + 1))
+                rows += [(len(rows), "train", "".join(t), "c", "", 1, 1, 1, 1), (len(rows) + 1, "test", "".join(x), "c", "", 1, 1, 1, 1)]
+    near = {p for p in want if edit(rows[p[0]][2], rows[p[1]][2]) <= int(overlap.WRONG * max(len(rows[p[0]][2]), len(rows[p[1]][2])))}
+    assert len(near) > 0.9 * len(want)
+    got = {tuple(r) for r in overlap.cross_split(spark.createDataFrame(rows, PAIR)).collect()}
+    assert near <= got
+
+
 def test_unigram_counts(spark):
     u = tokens.Unigram({"▁": -2.0, "a": -3.0, "ab": -1.0, "▁ab": -0.5, "c": -2.0, "。": -1.0})
     assert u.count("ab ab") == 2 and u.count("abc。") == 3 and u.count("") == 0 and u.count("zz") == 3 and u.count(" \n") == 0
