@@ -84,6 +84,19 @@ def test_cross_split_at_one_error_in_ten(spark):
     assert near <= got
 
 
+def test_cross_split_of_many_variants(spark):
+    rng = random.Random(6)
+    rows = []
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 40), ("".join(chr(0xAC00 + 7 * i) for i in range(300)), 27)):
+        base = [rng.choice(letters) for _ in range(n)]
+        for k in range(46):
+            t = base[:]
+            t[k % n] = rng.choice(letters)
+            rows.append((len(rows), "train" if k % 2 else "test", "".join(t), "c", "", 1, 1, 1, 1))
+    want = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if a // 46 == b // 46 and (a - b) % 2}
+    assert {tuple(r) for r in overlap.cross_split(spark.createDataFrame(rows, PAIR)).collect()} == want
+
+
 def test_unigram_counts(spark):
     u = tokens.Unigram({"▁": -2.0, "a": -3.0, "ab": -1.0, "▁ab": -0.5, "c": -2.0, "。": -1.0})
     assert u.count("ab ab") == 2 and u.count("abc。") == 3 and u.count("") == 0 and u.count("zz") == 3 and u.count(" \n") == 0
