@@ -8,8 +8,8 @@ each class. No pair within the bound of ``WRONG`` can be missed:
    at most k. Pieces are joined with all windows of the evaluation texts, by content and place.
 2. Signatures. The parities of 128 classes of code points differ in at most two bits for each edit;
    pairs that differ in more go within the join, so that stock phrases, however common, need no limit.
-3. Coverage by passages of 4 code points, which k edits cannot bring below ``COVERAGE``, and then the
-   exact edit distance decide.
+3. Of the pairs left, bags of code points and of their pairs, then coverage by passages of 4 code
+   points reject only what k edits cannot explain; the exact edit distance decides.
 """
 
 from __future__ import annotations
@@ -138,41 +138,41 @@ def distance_at_most(a: str, b: str, k: int) -> int:
     return k + 1
 
 
+def _bags(texts: pd.Series, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each text's bag, bags): counts of 256 classes of the windows of q code points."""
+    which, each = pd.factorize(texts)
+    out = np.zeros((len(each), 256), dtype=np.int32)
+    for i, t in enumerate(each):
+        h = Prints(codes(t)).windows(q) & np.uint64(255)
+        out[i] = np.bincount(h.astype(np.int64), minlength=256)
+    return which, out
+
+
+def covered(e: str, t: str) -> float:
+    """Share of e in passages of ``PASSAGE`` code points that stand anywhere in t."""
+    q = min(PASSAGE, len(e))
+    known = {t[i : i + q] for i in range(len(t) - q + 1)}
+    mark = bytearray(len(e))
+    for i in range(len(e) - q + 1):
+        if e[i : i + q] in known:
+            mark[i : i + q] = b"\1" * q
+    return sum(mark) / len(e)
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import ahocorasick
-
-    for b in batches:
-        machine = ahocorasick.Automaton()
-        where: dict[str, list[tuple[int, int]]] = {}
-        for e, t in dict(zip(b["e"], b["e_text"], strict=True)).items():
-            q = min(PASSAGE, len(t))
-            for i in range(len(t) - q + 1):
-                where.setdefault(t[i : i + q], []).append((e, i))
-        for w, at in where.items():
-            by: dict[int, list[int]] = {}
-            for e, i in at:
-                by.setdefault(e, []).append(i)
-            machine.add_word(w, by)
-        machine.make_automaton()
-        hits: dict[str, list] = {}
-        out = []
-        for e, t, et, tt in zip(b["e"], b["t"], b["e_text"], b["t_text"], strict=True):
-            found = hits.get(tt)
-            if found is None:
-                hits.clear()
-                found = hits[tt] = [by for _, by in machine.iter(tt)]
-            mark = bytearray(len(et))
-            q = min(PASSAGE, len(et))
-            for by in found:
-                for i in by.get(e, ()):
-                    mark[i : i + q] = b"\1" * q
-            if sum(mark) < COVERAGE * len(et):
-                continue
-            k = int(WRONG * max(len(et), len(tt)))
-            d = distance_at_most(et, tt, k)
-            if d <= k:
-                out.append((e, t, d, sum(mark) / len(et)))
-        yield pd.DataFrame(out, columns=["e", "t", "edits", "coverage"])
+    for whole in batches:
+        for b in (whole.iloc[i : i + 4000] for i in range(0, len(whole), 4000)):
+            k = (WRONG * np.maximum(b["e_text"].str.len(), b["t_text"].str.len()).to_numpy() + 1e-9).astype(np.int64)
+            ok = np.ones(len(b), dtype=bool)
+            for q in (1, 2):  # an edit takes away and adds at most q windows
+                (i, x), (j, y) = _bags(b["e_text"], q), _bags(b["t_text"], q)
+                ok &= np.abs(x[i] - y[j]).sum(axis=1) <= 2 * q * k
+            out = []
+            for e, t, et, tt, m in zip(*(b[c][ok] for c in ("e", "t", "e_text", "t_text")), k[ok].tolist(), strict=True):
+                c = covered(et, tt)
+                if c >= COVERAGE and (d := distance_at_most(et, tt, m)) <= m:
+                    out.append((e, t, d, c))
+            yield pd.DataFrame(out, columns=["e", "t", "edits", "coverage"])
 
 
 def _folded(pairs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,6 +98,25 @@ def test_cross_split_of_many_variants(spark):
     assert {tuple(r) for r in overlap.cross_split(spark.createDataFrame(rows, PAIR)).collect()} == want
 
 
+def test_every_pair_within_the_bound_passes_seeds_and_tests():
+    rng = random.Random(7)
+    pairs = []
+    for n in [*range(8, 60), 120, 300]:
+        k = overlap.most_edits(n)
+        t = [rng.choice("abcdefgh") for _ in range(n)]
+        e = t[:]
+        step = n // (k + 1)
+        for i in range(1, k + 1):  # an edit every few letters, as evenly as they go
+            e[min(n - 1, i * step)] = "z"
+        pairs.append((overlap.most_edits(n), "".join(e), "".join(t)))
+    for k, e, t in pairs:
+        if edit(e, t) <= int(overlap.WRONG * len(t) + 1e-9):
+            (h, at), (g, to) = overlap.pieces(t), overlap.windows(e)
+            assert any(abs(int(a) - int(b)) <= k for x, a in zip(h, at, strict=True) for y, b in zip(g, to, strict=True) if x == y)
+            assert overlap.covered(e, t) >= overlap.COVERAGE
+            assert len(next(overlap._verify(iter([pd.DataFrame({"e": [1], "t": [2], "e_text": [e], "t_text": [t]})])))) == 1
+
+
 def test_unigram_counts(spark):
     u = tokens.Unigram({"▁": -2.0, "a": -3.0, "ab": -1.0, "▁ab": -0.5, "c": -2.0, "。": -1.0})
     assert u.count("ab ab") == 2 and u.count("abc。") == 3 and u.count("") == 0 and u.count("zz") == 3 and u.count(" \n") == 0
