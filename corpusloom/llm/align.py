@@ -1,7 +1,8 @@
 """Problem 4: sentence alignment in bilingual documents.
 
 Translation tables are estimated by expectation-maximisation: every iteration is one Spark job whose
-tasks return expected counts of their rows, summed by token pair. Lines of both sides then become
+tasks return expected counts of their rows, summed by token pair, over all records and every token
+seen more than once. Lines of both sides then become
 bit sets: bit k of a source line's expected set is on where one of its tokens translates to token k.
 Competitive linking takes the best pair of lines anywhere in the record, strikes out the tokens the
 pair explains on both sides, and goes on with what is left of the lines; so lines may be reordered,
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,9 @@ _NUM = re.compile(r"\d[\d,]*")
 _RUN = (",", "，", "、", "､")
 _SYLLABLE = re.compile("[가-힣㐀-鿿]")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Largest translation table held with a cell for every pair of tokens; larger ones hold the pairs that occur.
+CELLS = 1 << 24
+_BLOCK = 4096
 
 
 def han_number(s: str) -> int:
@@ -75,26 +80,25 @@ def tokens(line: str, side: str) -> tuple[list[str], list[int]]:
 class Lexicon:
     """Which tokens explain which: bit masks in both directions, without the commonest tokens."""
 
-    def __init__(self, src: list[str], tgt: list[str], counts: np.ndarray, common_src: set[str], common_tgt: set[str], least: float = 0.05, lift: float = 5.0):
+    def __init__(self, src: list[str], tgt: list[str], cells: np.ndarray, counts: np.ndarray, common_src: set[str], common_tgt: set[str], least: float = 0.05, lift: float = 5.0):
         self.src = {w: i for i, w in enumerate(src) if w not in common_src}
         self.tgt = {w: i for i, w in enumerate(tgt) if w not in common_tgt}
-        self.known_src, self.known_tgt = set(src), set(tgt)
         self.n_src, self.n_tgt = len(src), len(tgt)
-        fwd = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
-        bwd = counts / np.maximum(counts.sum(axis=0, keepdims=True), 1e-9)
-        by_chance = counts.sum(axis=1, keepdims=True) * counts.sum(axis=0, keepdims=True) / max(counts.sum(), 1e-9)
-        good = (fwd >= least) | (bwd >= least) | ((counts >= lift * by_chance) & (counts >= 2.0))
+        h, k = np.divmod(cells, max(1, len(tgt)))
+        by_h, by_k = np.bincount(h, counts, len(src)), np.bincount(k, counts, len(tgt))
+        by_chance = by_h[h] * by_k[k] / max(counts.sum(), 1e-9)
+        good = (counts >= least * np.maximum(by_h[h], 1e-9)) | (counts >= least * np.maximum(by_k[k], 1e-9)) | ((counts >= lift * by_chance) & (counts >= 2.0))
         okc = np.zeros(len(tgt), dtype=bool)
         okc[list(self.tgt.values())] = True
         okr = np.zeros(len(src), dtype=bool)
         okr[list(self.src.values())] = True
-        good &= okr[:, None] & okc[None, :]
-        self.fwd: dict[str, int] = {}
-        self.bwd: dict[str, int] = {}
-        for w, i in self.src.items():
-            self.fwd[w] = sum(1 << int(k) for k in np.flatnonzero(good[i]))
-        for w, k in self.tgt.items():
-            self.bwd[w] = sum(1 << int(i) for i in np.flatnonzero(good[:, k]))
+        good &= okr[h] & okc[k]
+        fwd, bwd = [0] * len(src), [0] * len(tgt)
+        for i, j in zip(h[good].tolist(), k[good].tolist(), strict=True):
+            fwd[i] |= 1 << j
+            bwd[j] |= 1 << i
+        self.fwd: dict[str, int] = {w: fwd[i] for w, i in self.src.items()}
+        self.bwd: dict[str, int] = {w: bwd[k] for w, k in self.tgt.items()}
 
     def line(self, toks: list[str], nums: list[int], forward: bool, extra: dict[int, int]) -> tuple[int, int]:
         """(own bits, expected bits of the other side); a number is three bits, the same on both sides."""
@@ -183,87 +187,111 @@ def line_pairs(hj: str, side: str, name: str) -> list[tuple[list[str], list[str]
     return out
 
 
-def _sample_tokens(name: str):
+def _count_tokens(name: str):
+    """Numbers of training pairs with a token, for each side; the number of pairs has the token ''."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = {"h": Counter(), "k": Counter()}
         for b in batches:
-            rows = [p for h, s in zip(b["text_hj"], b["side"], strict=True) for p in line_pairs(h, s, name)]
-            if rows:
-                yield pd.DataFrame({"h": [r[0] for r in rows], "k": [r[1] for r in rows]})
+            for h, s in zip(b["text_hj"], b["side"], strict=True):
+                for x, y in line_pairs(h, s, name):
+                    n["h"].update({*x, ""})
+                    n["k"].update({*y, ""})
+        for side, c in n.items():
+            if c:
+                yield pd.DataFrame({"side": side, "w": list(c), "n": list(c.values())})
 
     return run
 
 
-def estimate(rows: DataFrame, name: str, most_rows: int = 12_000, vocabulary: int = 2048, rounds: int = 4) -> Lexicon:
-    """Translation table from about ``most_rows`` records (fitting only; chosen by a hash of rec_id).
+def estimate(rows: DataFrame, name: str, rounds: int = 4) -> Lexicon:
+    """Translation table from all records and all tokens that more than one training pair has.
 
-    ``vocabulary`` bounds the tokens of a side that get a row of the table (the most frequent ones),
-    so the table has a fixed size; numbers are matched by value, whatever the vocabulary.
+    Expected counts are summed by the tasks, then by cell of the table; numbers are matched by value.
     """
     spark = rows.sparkSession
-    n = rows.count()
-    u = F.pmod(F.xxhash64("rec_id"), F.lit(1_000_000))
-    some = rows.where(u < int(1_000_000 * min(1.0, most_rows / max(1, n))) + 1).select("text_hj", "side")
-    pairs = some.mapInPandas(_sample_tokens(name), "h array<string>, k array<string>").repartition(6).persist()
-    try:
-        def freq(c: str) -> list:
-            t = pairs.select(F.explode(F.array_distinct(c)).alias("w")).groupBy("w").count().where("count > 1 and w <> ''")
-            return [(r[0], r[1]) for r in t.orderBy(F.desc("count"), "w").limit(vocabulary).collect()]
-
-        lines, fh, fk = pairs.count(), freq("h"), freq("k")
-        src, tgt = [w for w, _ in fh], [w for w, _ in fk]
-        coded = cut(pairs.mapInPandas(_encode({w: i for i, w in enumerate(src)}, {w: i for i, w in enumerate(tgt)}), "h array<int>, k array<int>").repartition(6), "coded")
-        counts = np.ones((len(src), len(tgt)), dtype=np.float32)
-        for _ in range(rounds if src and tgt else 0):
-            table = spark.sparkContext.broadcast((counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32))
-            part = coded.mapInPandas(_expect(table), "h int, c binary")
-            counts = np.zeros((len(src), len(tgt)), dtype=np.float32)
-            for h, c in part.groupBy("h").applyInPandas(_add_rows, "h int, c binary").collect():
-                counts[h] = np.frombuffer(c, dtype=np.float32)
+    seen = rows.mapInPandas(_count_tokens(name), "side string, w string, n long").groupBy("side", "w").agg(F.sum("n").alias("n")).where("n > 1 or w = ''").toPandas()
+    seen = seen.sort_values(["n", "w"], ascending=[False, True])
+    lines = int(seen["n"][seen["w"] == ""].max()) if len(seen) else 0
+    fh, fk = ([(w, n) for w, n in zip(x["w"], x["n"].tolist(), strict=True) if w] for x in (seen[seen["side"] == c] for c in "hk"))
+    src, tgt = [w for w, _ in fh], [w for w, _ in fk]
+    cells, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+    if src and tgt:
+        kinds = "h array<int>, hn array<int>, k array<int>, kn array<int>"
+        coded = cut(rows.mapInPandas(_encode(name, {w: i for i, w in enumerate(src)}, {w: i for i, w in enumerate(tgt)}), kinds).repartition(max(6, lines // 100_000)), "coded")
+        full = len(src) * len(tgt) <= CELLS
+        if full:
+            cells = np.arange(len(src) * len(tgt))
+        else:
+            cells = np.sort(coded.mapInPandas(_cells(len(tgt)), "cell long").distinct().toPandas()["cell"].to_numpy(dtype=np.int64))
+        keys = spark.sparkContext.broadcast(None if full else cells)
+        counts = np.ones(len(cells), dtype=np.float32)
+        for _ in range(rounds):
+            h = cells // len(tgt)
+            table = spark.sparkContext.broadcast((counts / np.maximum(np.bincount(h, counts, len(src)), 1e-9)[h]).astype(np.float32))
+            part = coded.mapInPandas(_expect(table, keys, len(tgt)), "block int, c binary")
+            counts = np.zeros(len(cells), dtype=np.float32)
+            for block, c in part.groupBy("block").applyInPandas(_add_blocks, "block int, c binary").collect():
+                c = np.frombuffer(c, dtype=np.float32)
+                counts[block * _BLOCK : block * _BLOCK + len(c)] = c
             table.unpersist()
+        keys.unpersist()
         drop_cut(coded)
-    finally:
-        pairs.unpersist()
     common_h = {w for w, c in fh if c > 0.12 * lines}
     common_k = {w for w, c in fk if c > 0.4 * lines}
-    return Lexicon(src, tgt, counts, common_h, common_k)
+    return Lexicon(src, tgt, cells, counts, common_h, common_k)
 
 
-def _add_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sum of the tasks' rows for one source token: one array for each task."""
+def _add_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sum of the tasks' counts for one block of cells."""
     total = np.sum([np.frombuffer(c, dtype=np.float32) for c in rows["c"]], axis=0, dtype=np.float64)
-    return pd.DataFrame({"h": [rows["h"].iloc[0]], "c": [total.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "c": [total.astype(np.float32).tobytes()]})
 
 
-def _encode(src: dict[str, int], tgt: dict[str, int]):
+def _encode(name: str, src: dict[str, int], tgt: dict[str, int]):
+    """Training pairs as numbers of the distinct known tokens and how often each occurs."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"h": [[src[w] for w in x if w in src] for x in b["h"]], "k": [[tgt[w] for w in x if w in tgt] for x in b["k"]]})
+            out = []
+            for h, s in zip(b["text_hj"], b["side"], strict=True):
+                for x, y in line_pairs(h, s, name):
+                    x, y = Counter(src[w] for w in x if w in src), Counter(tgt[w] for w in y if w in tgt)
+                    if x and y:
+                        out.append((list(x), list(x.values()), list(y), list(y.values())))
+            yield pd.DataFrame(out, columns=["h", "hn", "k", "kn"])
 
     return run
 
 
-def _matrix(lists: list, width: int) -> np.ndarray:
-    """Counts of token numbers, a row for each list."""
-    size = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
-    if not size.sum():
-        return np.zeros((len(lists), width), dtype=np.float32)
-    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists if len(x)])
-    return np.bincount(np.repeat(np.arange(len(lists)), size) * width + flat, minlength=len(lists) * width).reshape(len(lists), width).astype(np.float32)
+def _cells(width: int):
+    """Pairs of tokens that occur together, each once a task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.zeros(0, dtype=np.int64)
+        for b in batches:
+            new = [(h.astype(np.int64)[:, None] * width + k).ravel() for h, k in zip(b["h"], b["k"], strict=True)]
+            known = np.unique(np.concatenate([known, *new]))
+        yield pd.DataFrame({"cell": known})
+
+    return run
 
 
-def _expect(table):
+def _expect(table, keys, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t: np.ndarray = table.value
-        total = np.zeros(t.shape, dtype=np.float32)
+        cells: np.ndarray | None = keys.value
+        total = np.zeros(len(t))
         for b in batches:
-            for lo in range(0, len(b), 1000):
-                h = _matrix(list(b["h"].iloc[lo : lo + 1000]), t.shape[0])
-                k = _matrix(list(b["k"].iloc[lo : lo + 1000]), t.shape[1])
-                total += t * (h.T @ (k / np.maximum(h @ t, 1e-12)))
-        for lo in range(0, len(total), 64):  # a row of the table at a time, 64 to a batch
-            rows = total[lo : lo + 64]
-            yield pd.DataFrame({"h": np.arange(lo, lo + len(rows), dtype=np.int32), "c": [r.tobytes() for r in rows]})
+            for h, hn, k, kn in zip(b["h"], b["hn"], b["k"], b["kn"], strict=True):
+                at = h.astype(np.int64)[:, None] * width + k
+                if cells is not None:
+                    at = np.searchsorted(cells, at)
+                w = t[at] * hn[:, None]
+                w *= kn / np.maximum(w.sum(axis=0), 1e-12)
+                total[at] += w
+        for lo in range(0, len(total), 64 * _BLOCK):  # 64 blocks to a batch
+            blocks = [(i // _BLOCK, total[i : i + _BLOCK]) for i in range(lo, min(len(total), lo + 64 * _BLOCK), _BLOCK)]
+            blocks = [(i, c.astype(np.float32).tobytes()) for i, c in blocks if c.any()]
+            if blocks:
+                yield pd.DataFrame(blocks, columns=["block", "c"])
 
     return run
 
