@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,26 +77,42 @@ def corpus_bleu(df: DataFrame, by: list[str], hyp: str, ref: str, tokens=tokens_
     return g.select(*by, bleu_of_sums(order).alias("bleu"), "rows")
 
 
-def paired_bootstrap(df: DataFrame, key: str, a: str, b: str, ref: str, samples: int = 200, tokens=tokens_char, seed: int = 42) -> DataFrame:
+def _resampled(names: list[str], samples: int):
+    """Sums of the statistics over all rows (sample 0) and over each resample, a row for each sample and task."""
+    top = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])  # Poisson distribution of mean one
+    step = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rows = np.zeros((samples + 1, len(names))), 0
+        for whole in batches:
+            for b in (whole.iloc[i : i + 500] for i in range(0, len(whole), 500)):
+                x, h = b[names].to_numpy(dtype=np.float64), b["_k"].to_numpy(dtype=np.int64).view(np.uint64)[:, None] + step
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+                total[0] += x.sum(axis=0)
+                total[1:] += np.searchsorted(top, u, side="right").T.astype(np.float64) @ x
+                rows += len(b)
+        if rows:
+            yield pd.DataFrame(total, columns=names).assign(sample=np.arange(samples + 1))
+
+    return run
+
+
+def paired_bootstrap(df: DataFrame, key: str, a: str, b: str, ref: str, samples: int = 2000, tokens=tokens_char, seed: int = 42) -> DataFrame:
     """(bleu_a, bleu_b, p_value): how often resampling turns the difference of two systems round.
 
     Each row draws how often it occurs in a sample from a Poisson distribution of mean one, hashed
-    from its key and the sample's number; one aggregate by sample follows. No sample is materialised.
+    from its key and the sample's number. The tasks sum the weighted statistics; no sample is materialised.
     """
     d = df.where(F.col(key).isNotNull())
-    sa = bleu_statistics(d, a, ref, tokens).select(F.col(key), *_stat_cols("a"))
-    sb = bleu_statistics(d, b, ref, tokens).select(F.col(key), *_stat_cols("b"))
-    s = sa.join(sb, key)
-    x = s.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(key).cast("string"), "sample", F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    w, p, c = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 12):
-        c += p
-        w = w + F.when(F.col("_u") >= c, 1).otherwise(0)
-        p /= k
-    x = x.withColumn("_u", u).withColumn("_w", F.when(F.col("sample") == 0, 1).otherwise(w))
-    names = [n for n in x.columns if re.fullmatch(r"[ab]_\w+", n)]
-    g = x.groupBy("sample").agg(*[F.sum(F.col(n) * F.col("_w")).alias(n) for n in names])
+    names = ["hyp_len", "ref_len", *[f"{x}{n}" for n in range(1, 5) for x in "mt"]]
+    for prefix, hyp in (("a", a), ("b", b)):
+        d = bleu_statistics(d, hyp, ref, tokens).withColumnsRenamed({n: f"{prefix}_{n}" for n in names})
+    names = [f"{p}_{n}" for p in "ab" for n in names]
+    x = d.select(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("_k"), *names)
+    g = x.mapInPandas(_resampled(names, samples), "sample int, " + ", ".join(f"{n} double" for n in names))
+    g = g.groupBy("sample").agg(*[F.sum(n).alias(n) for n in names])
     g = g.select("sample", _bleu_named("a").alias("bleu_a"), _bleu_named("b").alias("bleu_b"))
     real = g.agg(F.max(F.when(F.col("sample") == 0, F.col("bleu_a"))).alias("bleu_a"), F.max(F.when(F.col("sample") == 0, F.col("bleu_b"))).alias("bleu_b"), F.collect_list(F.when(F.col("sample") > 0, F.col("bleu_a") - F.col("bleu_b"))).alias("_d"))
     diff = F.col("bleu_a") - F.col("bleu_b")
@@ -102,10 +120,6 @@ def paired_bootstrap(df: DataFrame, key: str, a: str, b: str, ref: str, samples:
     return real.select("bleu_a", "bleu_b", ((worse + 1) / (F.size("_d") + 1)).alias("p_value"))
 
 
-def _stat_cols(prefix: str) -> list[Column]:
-    return [F.col(c).alias(f"{prefix}_{c}") for c in ("hyp_len", "ref_len", *[f"{x}{n}" for n in range(1, 5) for x in "mt"])]
-
-
 def _bleu_named(p: str) -> Column:
     logs = sum((F.log(F.col(f"{p}_m{n}") / F.col(f"{p}_t{n}")) for n in range(1, 5)), F.lit(0.0)) / 4
     ok = F.least(*[F.col(f"{p}_m{n}") for n in range(1, 5)]) > 0

@@ -467,7 +467,7 @@ def _(t):
 @query("met_bootstrap")
 def _(t):
     d = t("aligned_corpus").where("text_cko is not null and text_oko is not null").select("rec_id", F.col("text_oko").alias("a"), F.regexp_replace("text_oko", "다", "라").alias("b"), F.col("text_cko").alias("ref"))
-    return mt.paired_bootstrap(d, "rec_id", "a", "b", "ref", 60)
+    return mt.paired_bootstrap(d, "rec_id", "a", "b", "ref", 2000)
 
 
 @query("met_entity_f1")
@@ -505,20 +505,29 @@ def _(t):
 _CM = "select lang, c, count(*) as n from (select lang, unnest(regexp_extract_all(text, '(?s).')) as c from mono_text where lang in ('hj', 'cc', 'zh', 'ja')) group by all"
 
 
-@query("met_oov_mass", f"""
-    with g as ({_CM}), r as (select *, sum(n) over (partition by lang order by n desc, c rows unbounded preceding) / sum(n) over (partition by lang) * 100 as p, sum(n) over (partition by lang) as whole from g),
-    k as (select lang, t, c from r, (values (90), (99), (100)) v(t) where p <= t)
-    select a.lang as l1, b.lang as l2, v.t as threshold, round(sum(case when not exists (select 1 from k where k.lang = b.lang and k.t = v.t and k.c = a.c) then a.n else 0 end) / max(a.whole) * 100, 6) as oov from r a, (select distinct lang from g) b, (values (90), (99), (100)) v(t) where a.lang <> b.lang group by all""")
-def _(t):
+def _oov_mass(t, thresholds):
     g = t("mono_text").where(F.col("lang").isin("hj", "cc", "zh", "ja")).select("lang", F.explode(tx.characters(F.col("text"))).alias("c")).groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n"))
     r = q.running_share(g, "n", [F.desc("n"), F.col("c")], ["lang"]).withColumn("whole", F.sum("n").over(W.partitionBy("lang")))
     # Per character the languages that know it at each threshold; a vocabulary, not the texts, is joined.
     known = r.groupBy("c").agg(F.collect_list(F.struct("lang", "running_percent")).alias("known"))
-    x = r.join(known, "c").withColumn("t", F.explode(F.array(F.lit(90), F.lit(99), F.lit(100)))).withColumn("l2", F.explode(F.array(*[F.lit(v) for v in ("hj", "cc", "zh", "ja")]))).where("l2 <> lang")
+    x = r.join(known, "c").withColumn("t", F.explode(F.array(*[F.lit(v) for v in thresholds]))).withColumn("l2", F.explode(F.array(*[F.lit(v) for v in ("hj", "cc", "zh", "ja")]))).where("l2 <> lang")
     miss = ~F.exists("known", lambda k: (k["lang"] == F.col("l2")) & (k["running_percent"] <= F.col("t")))
     return x.groupBy(F.col("lang").alias("l1"), "l2", F.col("t").alias("threshold")).agg(F.round(F.sum(F.when(miss, F.col("n")).otherwise(0)) / F.max("whole") * 100, 6).alias("oov"))
 
 
+@query("met_oov_mass", f"""
+    with g as ({_CM}), r as (select *, sum(n) over (partition by lang order by n desc, c rows unbounded preceding) / sum(n) over (partition by lang) * 100 as p, sum(n) over (partition by lang) as whole from g),
+    k as (select lang, t, c from r, (values (90), (99), (100)) v(t) where p <= t)
+    select a.lang as l1, b.lang as l2, v.t as threshold, round(sum(case when not exists (select 1 from k where k.lang = b.lang and k.t = v.t and k.c = a.c) then a.n else 0 end) / max(a.whole) * 100, 6) as oov from r a, (select distinct lang from g) b, (values (90), (99), (100)) v(t) where a.lang <> b.lang group by all""")
+def _(t):
+    return _oov_mass(t, (90, 99, 100))
+
+
+@query("met_oov_thresholds")
+def _(t):
+    return _oov_mass(t, (100.0, 99.99, 99.9, 99.0, 95.0, 90.0))
+
+
 @query("met_vocabulary_size", "select lang, count(distinct c) as size, round(sum((c not between ' ' and '~')::int) / count(*), 6) as outside_ascii from (select lang, unnest(regexp_extract_all(text, '(?s).')) as c from mono_text) group by lang")
 def _(t):
     d = t("mono_text").select("lang", F.explode(tx.characters(F.col("text"))).alias("c"))

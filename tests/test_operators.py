@@ -1,6 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corpusloom.operators import hygiene, metrics, projection, quality
 from corpusloom.plans.pipeline import Stage, build
 from corpusloom.sources import html, readers
@@ -124,3 +127,13 @@ def test_profiles_without_columns_of_interest(spark):
     assert [tuple(r) for r in quality.null_profile(d).collect()] == [("v", 2)]
     assert projection.drop_all_null(d).columns == ["k"]
     assert projection.drop_if_equal(d.withColumn("w", F.col("v")), "v", "w").columns == ["k", "v"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_bootstrap_and_oov_mass_are_whole(spark):
+    r = entry.queries()["met_bootstrap"](spark, "/root/testdata/sf0.001").first()
+    assert abs(r.p_value * 2001 - round(r.p_value * 2001)) < 1e-6 and r.p_value < 1 / 61
+    o = entry.queries()["met_oov_thresholds"](spark, "/root/testdata/sf0.001").collect()
+    assert {x.threshold for x in o} == {100.0, 99.99, 99.9, 99.0, 95.0, 90.0}
+    few = {(x.l1, x.l2, float(x.threshold), x.oov) for x in entry.queries()["met_oov_mass"](spark, "/root/testdata/sf0.001").collect()}
+    assert few == {(x.l1, x.l2, x.threshold, x.oov) for x in o if x.threshold in (90.0, 99.0, 100.0)}
