@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tagged import to_items
-from ..functions.text import char_ngrams
+from ..functions.tagged import punctuation_after, to_items
+from ..functions.text import PUNC_RUN, char_ngrams
 
 
 def tokens_13a(c: Column) -> Column:
@@ -164,10 +164,25 @@ def agreement(df: DataFrame, ref: str, hyp: str, low: int, high: int) -> DataFra
     return g.select("n", "accuracy", (1 - F.col("o") / chance).alias("kappa"))
 
 
-def ruzicka(df: DataFrame, a: Column, b: Column, out: str = "similarity") -> DataFrame:
+def ruzicka(a: Column, b: Column) -> Column:
     """Similarity of the character counts of two marks: sum of the least over sum of the greatest counts."""
     ch = F.array_distinct(F.concat(char_ngrams(a, 1), char_ngrams(b, 1)))
     n = lambda t, x: F.length(t) - F.length(F.replace(t, x, F.lit("")))
     lo = F.aggregate(ch, F.lit(0), lambda acc, x: acc + F.least(n(a, x), n(b, x)))
     hi = F.aggregate(ch, F.lit(0), lambda acc, x: acc + F.greatest(n(a, x), n(b, x)))
-    return df.withColumn(out, F.when(hi > 0, lo / hi).otherwise(1.0))
+    return F.when(hi > 0, lo / hi).otherwise(1.0)
+
+
+def mean_ruzicka(df: DataFrame, ref: Column, hyp: Column) -> DataFrame:
+    """(positions, unlike, similarity): mean over the positions where the reference has marks, times 100.
+
+    A position is a character that is no punctuation; its mark is the run after it. Records whose other
+    characters differ have no positions in common: they are counted in ``unlike`` and left out.
+    """
+    bare = lambda c: F.regexp_replace(c, f"{PUNC_RUN}+", "")
+    marks = lambda c: F.transform(punctuation_after(c), lambda x: x["mark"])
+    d = df.select(ref.alias("r"), hyp.alias("h")).where("r is not null and h is not null").select("r", "h", (bare(F.col("r")) == bare(F.col("h"))).alias("same"))
+    both = F.filter(F.arrays_zip(marks(F.col("r")).alias("r"), marks(F.col("h")).alias("h")), lambda x: x["r"] != "")
+    d = d.select("same", F.explode_outer(F.when(F.col("same"), both)).alias("x"))
+    d = d.select("same", ruzicka(F.col("x.h"), F.col("x.r")).alias("s"), F.col("x").isNotNull().alias("at"))
+    return d.agg(F.count_if("at").alias("positions"), F.count_if(~F.col("same")).alias("unlike"), (100 * F.avg(F.when(F.col("at"), F.col("s")))).alias("similarity"))

@@ -498,8 +498,8 @@ def _(t):
 
 @query("met_ruzicka")
 def _(t):
-    d = t("aligned_corpus").where("text_oko is not null and text_cko is not null").select("rec_id", F.regexp_replace("text_oko", "[^,.。，]", "").alias("a"), F.regexp_replace("text_cko", "[^,.。，]", "").alias("b"))
-    return mt.ruzicka(d, F.col("a"), F.col("b")).select("rec_id", F.round("similarity", 6).alias("similarity"))
+    d = mt.mean_ruzicka(t("parallel_pair"), F.col("text_src"), F.regexp_replace("text_src", "，", ""))
+    return d.select("positions", "unlike", F.round("similarity", 2).alias("similarity"))
 
 
 _CM = "select lang, c, count(*) as n from (select lang, unnest(regexp_extract_all(text, '(?s).')) as c from mono_text where lang in ('hj', 'cc', 'zh', 'ja')) group by all"

@@ -137,3 +137,9 @@ def test_bootstrap_and_oov_mass_are_whole(spark):
     assert {x.threshold for x in o} == {100.0, 99.99, 99.9, 99.0, 95.0, 90.0}
     few = {(x.l1, x.l2, float(x.threshold), x.oov) for x in entry.queries()["met_oov_mass"](spark, "/root/testdata/sf0.001").collect()}
     assert few == {(x.l1, x.l2, x.threshold, x.oov) for x in o if x.threshold in (90.0, 99.0, 100.0)}
+
+
+def test_ruzicka_compares_marks_place_by_place(spark):
+    d = frame(spark, [("甲，乙。丙", "甲。乙，丙"), ("。甲，，乙。", "甲，乙。"), ("甲。", "乙。"), ("甲乙", "甲，乙"), (None, "甲"), ("", "")], "ref string, hyp string")
+    r = metrics.mean_ruzicka(d, F.col("ref"), F.col("hyp")).first()
+    assert (r.positions, r.unlike) == (4, 1) and r.similarity == pytest.approx(100 * (0 + 0 + 0.5 + 1) / 4)
