@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-REACH = 20
+#: At least the greatest length term: 0.3 * log(4 / 3).
+LONGEST = 0.1
 OPEN, CLOSE = "「『“‘〈《（(〔［[", "」』”’〉》）)〕］]"
 _PAIR = dict(zip(CLOSE, OPEN, strict=True))
 _MARKS = "。．｡.！？!?…‥"
@@ -377,11 +378,14 @@ def ends(text: str, model: Model) -> list[int]:
     score = [model.boundary(p, kind, use_marks, sep, wide) for p in ps]
     best: list[float] = []
     back: list[int] = []
+    high: list[float] = []  # the greatest of 0 and best so far
     length, sizes = model.length, model.sizes.setdefault(kind, {})
     start, depth, sure = [p.nxt for p in ps], [p.depth for p in ps], [x >= 5.0 and p.depth == 0 for x, p in zip(score, ps, strict=True)]
     for j, p in enumerate(ps):
         top, arg, end, d = -math.inf, -1, p.end, p.depth
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
+        for i in range(j - 1, -1, -1):
+            if high[i] + LONGEST <= top:
+                break  # no span from here or before scores more
             size = end - start[i]
             if size > 0:
                 n = sizes.get(size)
@@ -393,12 +397,13 @@ def ends(text: str, model: Model) -> list[int]:
                 if sure[i]:
                     break  # no span reaches over a place as sure as this
         else:
-            if j < REACH and end > lead:
+            if end > lead:
                 v = length(kind, end - lead) - 6.0 * min(2, d)
                 if v > top:
                     top, arg = v, -1
         best.append(top + score[j] if top > -math.inf else -1e9)
         back.append(arg)
+        high.append(max(0.0, best[-1], high[-1] if high else 0.0))
     out, j = [], len(ps) - 1
     while j >= 0:
         out.append(ps[j].end)

@@ -209,6 +209,13 @@ def test_sentences():
     assert sentences.ends("", m) == [] and sentences.ends(" \n", m) == [] and sentences.ends("。", m) == [1]
 
 
+def test_long_lists_and_speech_are_one_sentence():
+    m = learned(["The dike broke. It was mended."] * 30 + ["甲乙丙丁。戊己庚辛。"] * 30)
+    for n in (5, 12, 200):
+        for long, last in (("米　布　鐵　" * n + "。", "甲乙丙丁。"), ("米 布 鐵 " * n + "。", "甲乙丙丁。"), ('He said "' + "no! no! " * n + '" and left.', " He went.")):
+            assert sentences.ends(long + last, m) == [len(long), len(long + last)]
+
+
 @given(st.text(st.sampled_from("ab甲가あ。.!?「」\"' \n　○矣…"), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_sentence_ends_rise_and_reach_the_end(t):
