@@ -120,3 +120,22 @@ def previous_and_new(prev: DataFrame, new: DataFrame, keys: list[str], content:
     rest = [c for c in both.columns if c not in (*keys, "_p")]
     g = both.groupBy(*keys).agg(F.min(F.struct("_p", *rest)).alias("_s"))
     return g.select(*[F.col(c) if c in keys else F.col(f"_s.{c}") for c in both.columns if c != "_p"])
+
+
+def alignment_rules(df: DataFrame, link_id: str, data_id: str, text: str, targets: list[str], sentinels: list[str], titles: tuple[str, str] | None = None) -> DataFrame:
+    """Target side nulled, all columns of ``targets``, where a rule is broken; each rule sees what those before left.
+
+    In order: link id and data id differ; the link id occurs more than once; the text has a sentinel;
+    text or data id is there without the other; source and target ``titles`` differ but for blanks.
+    Ids and titles that are null break no rule by themselves.
+    """
+    n = df.where(F.col(link_id).isNotNull()).groupBy(link_id).agg(F.count(F.lit(1)).alias("_n"))
+    d = df.join(n, link_id, "left")
+    found = reduce(lambda a, b: a | b, [F.col(text).contains(x) for x in sentinels], F.lit(False))
+    rules = [F.col(link_id) != F.col(data_id), F.col("_n") > 1, found, F.col(text).isNull() != F.col(data_id).isNull()]
+    if titles:
+        rules.append(F.col(titles[1]) != F.regexp_replace(titles[0], r"[\s\p{Z}]+", ""))
+    for bad in rules:
+        d = d.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+        d = d.withColumns({c: F.when(~F.col("_bad"), F.col(c)) for c in targets})
+    return d.select(*df.columns)

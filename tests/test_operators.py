@@ -143,3 +143,11 @@ def test_ruzicka_compares_marks_place_by_place(spark):
     d = frame(spark, [("甲，乙。丙", "甲。乙，丙"), ("。甲，，乙。", "甲，乙。"), ("甲。", "乙。"), ("甲乙", "甲，乙"), (None, "甲"), ("", "")], "ref string, hyp string")
     r = metrics.mean_ruzicka(d, F.col("ref"), F.col("hyp")).first()
     assert (r.positions, r.unlike) == (4, 1) and r.similarity == pytest.approx(100 * (0 + 0 + 0.5 + 1) / 4)
+
+
+def test_alignment_rules(spark):
+    rows = [(1, "a", "a", "x", "t", "t"), (2, "b", "c", "x", "t", "t"), (3, "d", "d", "x", "t", "t"), (4, "d", None, None, "t", "t"), (5, "e", "e", "x 원문 빠짐", "t", "t"), (6, "f", "f", None, "t", "t"), (7, "g", "g", "x", "t t", "tt"), (8, "h", "h", "x", "t", "u"), (9, None, "i", "x", None, "t"), (10, "j", None, "x", "t", "t")]
+    d = frame(spark, rows, "k int, link string, data string, text string, title string, title_ko string")
+    got = hygiene.alignment_rules(d, "link", "data", "text", ["data", "text", "title_ko"], ["원문 빠짐", "원문 결락"], ("title", "title_ko")).collect()
+    assert {r.k for r in got if r.text} == {1, 7, 9} and all(r.data is None and r.title_ko is None for r in got if not r.text)
+    assert [r.title for r in sorted(got, key=lambda r: r.k)] == [r[4] for r in rows]
