@@ -3,34 +3,48 @@
 Texts are folded and grouped into classes of the same wording; all further work is on one text of
 each class. No pair within the bound of ``WRONG`` can be missed:
 
-1. Seeds by pigeonhole. A training text of n code points has at most k = ``most_edits(n)`` edits to
-   any partner, so of its k + 1 disjoint pieces one stands unchanged in the evaluation text, moved by
-   at most k. Pieces are joined with all windows of the evaluation texts, by content and place.
-2. Signatures. The parities of 128 classes of code points differ in at most two bits for each edit;
-   pairs that differ in more go within the join, so that stock phrases, however common, need no limit.
-3. Of the pairs left, bags of code points and of their pairs, then coverage by passages of 4 code
-   points reject only what k edits cannot explain; the exact edit distance decides.
+1. Passages. An evaluation text of n code points has at most k = ``most_edits(n)`` edits to any
+   partner, so of k + 1 disjoint passages one stands unchanged in the partner, moved by at most k
+   (pigeonhole). Of the text's cells of ``CELL`` code points the k + 1 rarest become passages, each
+   prolonged over the cells left out behind it. How rare a cell is comes from counts over all
+   evaluation texts in a table of fixed size; a wrong count costs time, never a pair.
+2. Shards. A passage belongs to the least fingerprint of the three-point windows at its start. Every
+   window of every training text is looked at: it has a least fingerprint too, and runs of windows
+   with the same one are stretches that only the shard of that fingerprint can match. Windows that
+   begin no passage at all (a bit map of fixed size, without false negatives) are left out before
+   the shuffle. So each piece of a training text goes to one shard, and work grows with the texts,
+   not with texts times shards.
+3. Scan. Each shard builds one Aho-Corasick automaton over its passages and runs it over its
+   stretches. A match counts where place, length and the parities of 128 classes of code points
+   (an edit changes at most two) agree with the bound.
+4. Coverage. Matched intervals are merged per evaluation and training text; pairs with any coverage
+   are confirmed by bags of code points and the exact bounded edit distance.
+
+Hot fingerprints are split on both sides: the stretches into r parts, the passages into c parts, and
+each part meets each. No limit is set on passages, stretches or pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop_cut
 from .common import fold, source_name
 from .rolling import Prints, codes, mix
 
-PIECE = 6
-PLACES = 32
+CELL, LONGEST, GRAM = 5, 8, 3
 WRONG = 0.12
-PASSAGE = 4
-COVERAGE = 0.4
+#: Bits of the fingerprint that number the counts of cells, and the map of windows that begin a passage.
+RARITY_BITS, KNOWN_BITS = 20, 26
+#: Passages of one shard, about; its automaton takes some 100 bytes for each.
+SHARD = 300_000
+#: Rows of one fingerprint above which it is split.
+HOT = 200_000
 
 
 def most_edits(n: int) -> int:
@@ -38,39 +52,48 @@ def most_edits(n: int) -> int:
     return int(WRONG * n / (1 - WRONG) + 1e-9)
 
 
-@lru_cache(1 << 16)
-def layout(n: int) -> tuple[int, int, int]:
-    """(number, stride, length) of the pieces of a training text of n code points; none where k is 0."""
+def cells(n: int) -> tuple[int, int]:
+    """(number, stride) of the cells of a text of n code points: at least one more than its edits; none where it has none."""
     k = most_edits(n)
-    return (k + 1, n // (k + 1), min(PIECE, n // (k + 1))) if k else (0, 0, 0)
+    p = max(k + 1, n // CELL) if k else 0
+    return p, n // max(1, p)
 
 
-@lru_cache(1 << 16)
-def window_lengths(n: int) -> tuple[int, ...]:
-    """Lengths of the pieces of all training texts that may be partners of an evaluation text of n code points."""
-    k = most_edits(n)
-    return tuple(sorted({layout(m)[2] for m in range(max(1, n - k), n + k + 1)} - {0}))
+def start_window(n: int) -> int:
+    """Length of the window that names the shard of a passage of a text of n code points."""
+    return min(CELL, cells(n)[1])
+
+
+#: Evaluation texts below this length have cells of less than ``CELL`` code points.
+SHORT = next(n for n in range(8, 99) if all(cells(m)[1] >= CELL for m in range(n, 999)))
+SHORTEST = min(start_window(n) for n in range(8, 999))
+
 
+class Joined:
+    """Many texts as one array of code points, a break after each, with the fingerprints of all windows."""
 
-def pieces(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places) of the disjoint pieces of a training text: a key for each block of places where the piece may stand."""
-    n, step, q = layout(len(text))
-    at = np.arange(n) * step
-    h, k = Prints(codes(text)).at(at, at + q), most_edits(len(text))
-    lo, hi = np.maximum(0, at - k) // PLACES, (at + k) // PLACES
-    times = hi - lo + 1
-    block = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    return mix(np.repeat(h, times) + block.astype(np.uint64)), np.repeat(at, times)
+    def __init__(self, texts: list[str]):
+        self.text = "\0".join(texts) + "\0"
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        self.owner = np.repeat(np.arange(len(texts)), self.size + 1)
+        self.end = self.start + self.size
+        self.arr = codes(self.text)
+        self.prints = Prints(self.arr)
+        self.gram = self.prints.windows(GRAM)
 
+    def windows(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, fingerprints) of the windows of q code points that lie inside one text."""
+        at = np.arange(max(0, len(self.arr) - q + 1))
+        at = at[at + q <= self.end[self.owner[at]]]
+        return at, self.prints.at(at, at + q)
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places) of all windows of an evaluation text that may be pieces of a partner."""
-    p, out, at = Prints(codes(text)), [], []
-    for q in window_lengths(len(text)):
-        h = p.windows(q)
-        at.append(np.arange(len(h)))
-        out.append(mix(h + (at[-1] // PLACES).astype(np.uint64)))
-    return (np.concatenate(out), np.concatenate(at)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def least(self, at: np.ndarray, q: int) -> np.ndarray:
+        """Least fingerprint of the ``GRAM`` windows in the windows of q at these places."""
+        out = self.gram[at]
+        for i in range(1, q - GRAM + 1):
+            out = np.minimum(out, self.gram[at + i])
+        return out
 
 
 def signature(text: str) -> np.ndarray:
@@ -79,20 +102,180 @@ def signature(text: str) -> np.ndarray:
     return np.packbits((np.bincount(x.astype(np.int64), minlength=128) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _emit(seeds):
+def signatures(j: Joined) -> np.ndarray:
+    """:func:`signature` of many texts at once."""
+    x = (mix(j.arr.astype(np.uint64)) & np.uint64(127)).astype(np.int64)
+    inside = np.ones(len(x), dtype=bool)
+    inside[j.end] = False
+    n = np.bincount((j.owner * 128 + x)[inside], minlength=128 * len(j.size)).reshape(len(j.size), 128)
+    return np.packbits((n & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
+def choose(n: int, counts: np.ndarray) -> list[tuple[int, int]]:
+    """(place, length) of the k + 1 passages of a text of n code points, given the counts of its cells."""
+    p, step = cells(n)
+    kept = np.sort(np.argsort(counts, kind="stable")[: most_edits(n) + 1]) * step
+    ends = np.append(kept[1:], n)
+    return [(a, min(b - a, LONGEST)) for a, b in zip(kept.tolist(), ends.tolist(), strict=True)] if p else []
+
+
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+    for whole in batches:
+        for i in range(0, len(whole), rows):
+            yield whole.iloc[i : i + rows]
+
+
+def _count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    for b in _parts(batches):
+        _, h = Joined(b["folded"].tolist()).windows(CELL)
+        n += np.bincount((h >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(n))
+    some = np.flatnonzero(n)
+    yield pd.DataFrame({"bucket": some.astype(np.int32), "n": n[some]})
+
+
+_ROW = "key long, text string, cid long, size int, at int, s1 long, s2 long"
+
+
+def _passages(rarity):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for b in (whole.iloc[i : i + 1000] for i in range(0, len(whole), 1000)):
-                got = [seeds(t) for t in b["folded"]]
-                n = np.array([len(h) for h, _ in got], dtype=np.int64)
-                if n.sum():
-                    s = np.repeat(np.array([signature(t) for t in b["folded"]]), n, axis=0)
-                    size = np.repeat(b["folded"].str.len().to_numpy(dtype=np.int32), n)
-                    yield pd.DataFrame({"h": np.concatenate([h for h, _ in got]).view(np.int64), "cid": np.repeat(b["cid"].to_numpy(), n), "size": size, "at": np.concatenate([at for _, at in got]).astype(np.int32), "s1": s[:, 0], "s2": s[:, 1]})
+        seen: np.ndarray = rarity.value
+        for b in _parts(batches):
+            j = Joined(b["folded"].tolist())
+            sig, out, at = signatures(j), [], []
+            for i, n in enumerate(j.size.tolist()):
+                p, step = cells(n)
+                if not p:
+                    continue
+                c = j.start[i] + np.arange(p) * step
+                h = j.prints.at(c, c + min(step, CELL))
+                for a, m in choose(n, seen[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]):
+                    out.append((i, a, j.text[j.start[i] + a : j.start[i] + a + m]))
+                    at.append((j.start[i] + a, start_window(n)))
+            if out:
+                i, a, text = zip(*out, strict=True)
+                i, (where, q) = np.array(i), np.array(at).T
+                key = np.where(q == CELL, j.least(where, CELL), j.least(where, SHORTEST))
+                first = j.prints.at(where, where + q)
+                yield pd.DataFrame({"key": key.view(np.int64), "text": text, "cid": b["cid"].to_numpy()[i], "size": j.size[i].astype(np.int32), "at": np.array(a, dtype=np.int32), "s1": sig[i, 0], "s2": sig[i, 1], "bit": (first >> np.uint64(64 - KNOWN_BITS)).astype(np.int32)})
 
     return run
 
 
+def _stretches(known):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits: np.ndarray = known.value
+        for b in _parts(batches):
+            j = Joined(b["folded"].tolist())
+            sig, ids = signatures(j), b["cid"].to_numpy()
+            for q in sorted({CELL, SHORTEST}):
+                at, h = j.windows(q)
+                bit = (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+                ok = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                if q < CELL:  # partners of the evaluation texts below SHORT only
+                    ok &= j.size[j.owner[at]] <= SHORT + most_edits(SHORT)
+                at = at[ok]
+                if len(at) == 0:
+                    continue
+                key, own = j.least(at, q), j.owner[at]
+                new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+                lo, i = at[new], own[new]
+                hi = np.minimum(at[np.r_[new[1:], len(at)] - 1] + LONGEST, j.end[i])
+                text = [j.text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                yield pd.DataFrame({"key": key[new].view(np.int64), "text": text, "cid": ids[i], "size": j.size[i].astype(np.int32), "at": (lo - j.start[i]).astype(np.int32), "s1": sig[i, 0], "s2": sig[i, 1]})
+
+    return run
+
+
+class Shard:
+    """Aho-Corasick automaton over the passages of a shard, with the evaluation texts that hold each."""
+
+    def __init__(self, rows: pd.DataFrame):
+        import ahocorasick
+
+        which, texts = pd.factorize(rows["text"])
+        order = np.lexsort((rows["at"].to_numpy(), which))
+        self.which, self.at = which[order].astype(np.int64), rows["at"].to_numpy(dtype=np.int64)[order]
+        self.place = (self.which << 32) + self.at
+        self.cid, self.size, self.s1, self.s2 = (rows[c].to_numpy()[order] for c in ("cid", "size", "s1", "s2"))
+        self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, t in enumerate(texts):
+            self.machine.add_word(t, i)
+        if len(texts):
+            self.machine.make_automaton()
+
+    def scan(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """(e, t, size, at, length): matches that the bound on edits allows."""
+        texts = rows["text"].tolist()
+        found = np.array(list(self.machine.iter("\0".join(texts))) if len(self.length) else [], dtype=np.int64).reshape(-1, 2)
+        start = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        row = np.searchsorted(start, found[:, 0], "right") - 1
+        n = rows["size"].to_numpy(dtype=np.int64)[row]
+        k = (WRONG * n / (1 - WRONG) + 1e-9).astype(np.int64)
+        at = rows["at"].to_numpy(dtype=np.int64)[row] + found[:, 0] - self.length[found[:, 1]] + 1 - start[row]
+        base = found[:, 1] << 32
+        lo, hi = np.searchsorted(self.place, base + np.maximum(0, at - k)), np.searchsorted(self.place, base + at + k, "right")
+        out = []
+        edge = np.r_[0, np.flatnonzero(np.diff(np.cumsum(hi - lo) // 2_000_000)) + 1, len(lo)]
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):  # blocks of bounded size
+            c = hi[x:y] - lo[x:y]
+            p = np.repeat(lo[x:y], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            r, off = np.repeat(row[x:y], c), np.repeat(at[x:y], c)
+            size = rows["size"].to_numpy(dtype=np.int64)[r]
+            most = (WRONG * np.maximum(size, self.size[p]) + 1e-9).astype(np.int64)
+            ok = (np.abs(size - self.size[p]) <= most) & (np.abs(off - self.at[p]) <= most) & (rows["cid"].to_numpy()[r] != self.cid[p])
+            p, r, most = p[ok], r[ok], most[ok]
+            ok = np.bitwise_count(rows["s1"].to_numpy()[r].view(np.uint64) ^ self.s1[p].view(np.uint64)).astype(np.int64) + np.bitwise_count(rows["s2"].to_numpy()[r].view(np.uint64) ^ self.s2[p].view(np.uint64)) <= 2 * most
+            p, r = p[ok], r[ok]
+            out.append(pd.DataFrame({"e": self.cid[p], "t": rows["cid"].to_numpy()[r], "size": self.size[p], "at": self.at[p].astype(np.int32), "length": self.length[self.which[p]].astype(np.int32)}))
+        return pd.concat(out).drop_duplicates()
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one partition: first its passages, then its stretches."""
+    held, shard = [], None
+    for b in batches:
+        mine = b["kind"].to_numpy() == 0
+        if mine.any():
+            held.append(b[mine])
+        if not mine.all():
+            if shard is None:
+                if not held:
+                    continue
+                shard, held = Shard(pd.concat(held)), []
+            yield shard.scan(b[~mine])
+
+
+def _known(passages: DataFrame) -> np.ndarray:
+    """Bit map of the windows that begin a passage: bits are joined by Spark, word by word."""
+    words = passages.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, bit & 63)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (KNOWN_BITS - 6), dtype=np.int64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    return out.view(np.uint8)
+
+
+def scan_shards(passages: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(e, t, size, at, length): every match of a passage in a stretch, each shard by one automaton.
+
+    Passages and stretches of a fingerprint meet in one partition, sorted so that the passages come
+    first; stretches are streamed past the automaton. Fingerprints with more than ``HOT`` rows (or four
+    times a partition's share) are split: r parts of stretches times c parts of passages.
+    """
+    spark = passages.sparkSession
+    n_p, n_s = passages.count(), stretches.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_p // SHARD), -(-n_s // (10 * SHARD)))
+    bound = max(HOT, 4 * (n_p + n_s) // parts)  # at most parts / 2 fingerprints have more
+    both = [x.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("key", F.ceil(F.col("n") / bound).cast("int").alias(c)) for x, c in ((stretches, "r"), (passages, "c"))]
+    hot = spark.createDataFrame(both[0].join(both[1], "key", "full").select("key", F.coalesce("r", F.lit(1)), F.coalesce("c", F.lit(1))).collect(), "key long, r int, c int")
+    fixed, every = lambda n: F.pmod(F.xxhash64("cid"), F.coalesce(F.col(n), F.lit(1))).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    row = ["key", "text", "cid", "size", "at", "s1", "s2"]
+    p = passages.join(F.broadcast(hot), "key", "left").select(F.lit(0).alias("kind"), *row, fixed("c").alias("in_c"), every("r").alias("in_r"))
+    s = stretches.join(F.broadcast(hot), "key", "left").select(F.lit(1).alias("kind"), *row, every("c").alias("in_c"), fixed("r").alias("in_r"))
+    both = p.unionByName(s).repartition(parts, "key", "in_c", "in_r").sortWithinPartitions("kind").drop("key", "in_c", "in_r")
+    return both.mapInPandas(_scan, "e long, t long, size int, at int, length int")
+
+
 def distance_at_most(a: str, b: str, k: int) -> int:
     """Edit distance of a and b, or k + 1 where it is greater: furthest-reaching points on diagonals."""
     if abs(len(a) - len(b)) > k:
@@ -148,31 +331,18 @@ def _bags(texts: pd.Series, q: int) -> tuple[np.ndarray, np.ndarray]:
     return which, out
 
 
-def covered(e: str, t: str) -> float:
-    """Share of e in passages of ``PASSAGE`` code points that stand anywhere in t."""
-    q = min(PASSAGE, len(e))
-    known = {t[i : i + q] for i in range(len(t) - q + 1)}
-    mark = bytearray(len(e))
-    for i in range(len(e) - q + 1):
-        if e[i : i + q] in known:
-            mark[i : i + q] = b"\1" * q
-    return sum(mark) / len(e)
-
-
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for whole in batches:
-        for b in (whole.iloc[i : i + 4000] for i in range(0, len(whole), 4000)):
-            k = (WRONG * np.maximum(b["e_text"].str.len(), b["t_text"].str.len()).to_numpy() + 1e-9).astype(np.int64)
-            ok = np.ones(len(b), dtype=bool)
-            for q in (1, 2):  # an edit takes away and adds at most q windows
-                (i, x), (j, y) = _bags(b["e_text"], q), _bags(b["t_text"], q)
-                ok &= np.abs(x[i] - y[j]).sum(axis=1) <= 2 * q * k
-            out = []
-            for e, t, et, tt, m in zip(*(b[c][ok] for c in ("e", "t", "e_text", "t_text")), k[ok].tolist(), strict=True):
-                c = covered(et, tt)
-                if c >= COVERAGE and (d := distance_at_most(et, tt, m)) <= m:
-                    out.append((e, t, d, c))
-            yield pd.DataFrame(out, columns=["e", "t", "edits", "coverage"])
+    for b in _parts(batches, 4000):
+        k = (WRONG * np.maximum(b["e_text"].str.len(), b["t_text"].str.len()).to_numpy() + 1e-9).astype(np.int64)
+        ok = np.ones(len(b), dtype=bool)
+        for q in (1, 2):  # an edit takes away and adds at most q windows
+            (i, x), (j, y) = _bags(b["e_text"], q), _bags(b["t_text"], q)
+            ok &= np.abs(x[i] - y[j]).sum(axis=1) <= 2 * q * k
+        out = []
+        for e, t, et, tt, c, m in zip(*(b[c][ok] for c in ("e", "t", "e_text", "t_text", "coverage")), k[ok].tolist(), strict=True):
+            if (d := distance_at_most(et, tt, m)) <= m:
+                out.append((e, t, d, c))
+        yield pd.DataFrame(out, columns=["e", "t", "edits", "coverage"])
 
 
 def _folded(pairs: DataFrame) -> DataFrame:
@@ -200,17 +370,26 @@ def text_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
-    """(e, t, edits, coverage): evaluation class and another training class of nearly the same text."""
+    """(e, t, edits, coverage): evaluation class and another training class of nearly the same text.
+
+    ``coverage`` is the part of the evaluation text in the passages found unchanged near their places.
+    """
+    sc = texts.sparkSession.sparkContext
     texts = cut(texts, "texts")
-    kinds = "h long, cid long, size int, at int, s1 long, s2 long"
-    left = texts.where("role in (2, 3)").mapInPandas(_emit(windows), kinds).alias("x")
-    right = texts.where("role in (1, 3)").mapInPandas(_emit(pieces), kinds).alias("y")
-    k = "int(%r * greatest(x.size, y.size) + 1e-9)" % WRONG
-    near = f"x.h = y.h and x.cid <> y.cid and abs(x.size - y.size) <= {k} and abs(x.at - y.at) <= {k} and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= 2 * {k}"
-    cand = cut(left.join(right, F.expr(near)).select(F.col("x.cid").alias("e"), F.col("y.cid").alias("t")).distinct(), "candidates")
+    ev, tr = texts.where("role in (2, 3)").select("cid", "folded"), texts.where("role in (1, 3)").select("cid", "folded")
+    seen = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    counted = ev.mapInPandas(_count_windows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen[counted["bucket"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    passages = cut(ev.mapInPandas(_passages(sc.broadcast(seen)), _ROW + ", bit int"), "passages")
+    stretches = cut(tr.mapInPandas(_stretches(sc.broadcast(_known(passages))), _ROW), "stretches")
+    merged = scan_shards(passages, stretches).groupBy("e", "t").agg(F.collect_set(F.struct("at", "length")).alias("at"), F.first("size").alias("size"))
+    cand = merged.select("e", "t", (F.expr("aggregate(at, 0, (n, x) -> n + x.length)") / F.col("size")).alias("coverage"))
     x = cand.join(texts.select(F.col("cid").alias("e"), F.col("folded").alias("e_text")), "e")
     x = x.join(texts.select(F.col("cid").alias("t"), F.col("folded").alias("t_text")), "t")
-    return x.select("e", "t", "e_text", "t_text").mapInPandas(_verify, "e long, t long, edits int, coverage double")
+    out = cut(x.select("e", "t", "e_text", "t_text", "coverage").mapInPandas(_verify, "e long, t long, edits int, coverage double"), "near")
+    for t in (texts, passages, stretches):
+        drop_cut(t)
+    return out
 
 
 def cross_split(pairs: DataFrame) -> DataFrame:
@@ -221,7 +400,7 @@ def cross_split(pairs: DataFrame) -> DataFrame:
     """
     members, texts = text_classes(pairs)
     members = cut(members, "members")
-    near = cut(near_classes(texts), "near").select("e", "t")
+    near = near_classes(texts).select("e", "t")
     tr = members.where("train").select(F.col("cid").alias("t"), F.col("rec_id").alias("x"))
     ev = members.where("not train").select(F.col("cid").alias("e"), F.col("rec_id").alias("y"))
     same = tr.join(ev, F.col("t") == F.col("e")).select("x", "y")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -37,7 +38,7 @@ def test_window_prints_depend_on_content_only(x, q):
 def test_cross_split_against_brute_force(spark):
     rng = random.Random(3)
     alphabet = [chr(0x4E00 + i) for i in range(400)]
-    base = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12, 120))) for _ in range(60)]
+    base = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12, 120))) for _ in range(25)]
 
     def noisy(t, n):
         t = list(t)
@@ -56,7 +57,7 @@ def test_cross_split_against_brute_force(spark):
     live = [(r[0], r[1], fold(r[2])) for r in rows if r[0] is not None and r[1] and r[2] and fold(r[2])]
     for a, sa, x in live:
         for b, sb, y in live:
-            if sa == "train" and sb != "train" and len(x) < 5000 and edit(x, y) <= int(overlap.WRONG * max(len(x), len(y))):
+            if sa == "train" and sb != "train" and max(len(x), len(y)) < 5000 and edit(x, y) <= int(overlap.WRONG * max(len(x), len(y))):
                 want.add((min(a, b), max(a, b)))
     want.add((9005, 9006))
     got = [tuple(r) for r in overlap.cross_split(d).collect()]
@@ -98,23 +99,56 @@ def test_cross_split_of_many_variants(spark):
     assert {tuple(r) for r in overlap.cross_split(spark.createDataFrame(rows, PAIR)).collect()} == want
 
 
-def test_every_pair_within_the_bound_passes_seeds_and_tests():
+def scanned(evaluation, training):
+    """Pairs (e, t) that the automaton of one shard over all passages finds in the training texts."""
+    frame = lambda x, first: pd.DataFrame({"cid": range(first, first + len(x)), "folded": x})
+    one = type("Value", (), {})
+    one.value = np.zeros(1 << overlap.RARITY_BITS, dtype=np.int64)
+    p = pd.concat(overlap._passages(one)(iter([frame(evaluation, 0)])))
+    one.value = np.zeros(1 << (overlap.KNOWN_BITS - 3), dtype=np.uint8)
+    bit = p["bit"].to_numpy()
+    np.bitwise_or.at(one.value, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    s = pd.concat(overlap._stretches(one)(iter([frame(training, len(evaluation))])))
+    keys = set(p["key"])
+    found = [overlap.Shard(p[p["key"] == k]).scan(s[s["key"] == k]) for k in keys if (s["key"] == k).any()]
+    return {(e, t - len(evaluation)) for f in found for e, t in zip(f["e"], f["t"], strict=True)}
+
+
+def test_no_pair_within_the_bound_is_missed_by_shards():
     rng = random.Random(7)
-    pairs = []
-    for n in [*range(8, 60), 120, 300]:
-        k = overlap.most_edits(n)
-        t = [rng.choice("abcdefgh") for _ in range(n)]
-        e = t[:]
-        step = n // (k + 1)
-        for i in range(1, k + 1):  # an edit every few letters, as evenly as they go
-            e[min(n - 1, i * step)] = "z"
-        pairs.append((overlap.most_edits(n), "".join(e), "".join(t)))
-    for k, e, t in pairs:
-        if edit(e, t) <= int(overlap.WRONG * len(t) + 1e-9):
-            (h, at), (g, to) = overlap.pieces(t), overlap.windows(e)
-            assert any(abs(int(a) - int(b)) <= k for x, a in zip(h, at, strict=True) for y, b in zip(g, to, strict=True) if x == y)
-            assert overlap.covered(e, t) >= overlap.COVERAGE
-            assert len(next(overlap._verify(iter([pd.DataFrame({"e": [1], "t": [2], "e_text": [e], "t_text": [t]})])))) == 1
+    evaluation, training = [], []
+    for n in [*range(8, 80), 120, 300]:
+        for last in (0, 1):
+            k = int(overlap.WRONG * n)
+            e = [rng.choice("abcdefgh") for _ in range(n)]
+            t = e[:]
+            step = n / (k + 1)
+            for i in range(1, k + 1):  # an edit every few letters, as evenly as they go
+                t[int(i * step) - last] = rng.choice(["z", "", t[int(i * step) - last] + "z"])
+            t = "".join(t)
+            if edit("".join(e), t) <= int(overlap.WRONG * max(n, len(t)) + 1e-9):
+                evaluation.append("".join(e))
+                training.append(t)
+    assert len(evaluation) > 100
+    assert {(i, i) for i in range(len(evaluation)) if evaluation[i] != training[i]} <= scanned(evaluation, training)
+    for e, t in zip(evaluation, training, strict=True):
+        assert len(next(overlap._verify(iter([pd.DataFrame({"e": [1], "t": [2], "e_text": [e], "t_text": [t], "coverage": [0.5]})])))) == 1
+
+
+def test_hot_fingerprints_are_split_without_loss(spark, monkeypatch):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghijklmnop") for _ in range(30))
+    rows = []
+    for k in range(60):
+        t = list(base)
+        t[k % 30] = rng.choice("qrst")
+        rows.append((len(rows), "train" if k % 2 else "test", "".join(t) + "uvwxyz"[k % 6], "c", "", 1, 1, 1, 1))
+    d = spark.createDataFrame(rows, PAIR)
+    whole = {tuple(r) for r in overlap.cross_split(d).collect()}
+    monkeypatch.setattr(overlap, "HOT", 1)
+    monkeypatch.setattr(overlap, "SHARD", 2)
+    assert {tuple(r) for r in overlap.cross_split(d).collect()} == whole
+    assert len(whole) == 900
 
 
 def test_unigram_counts(spark):
