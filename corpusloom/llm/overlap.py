@@ -249,9 +249,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _known(passages: DataFrame) -> np.ndarray:
     """Bit map of the windows that begin a passage: bits are joined by Spark, word by word."""
-    words = passages.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, bit & 63)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = passages.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, bit & 63)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (KNOWN_BITS - 6), dtype=np.int64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out.view(np.uint8)
 
 
@@ -378,8 +378,8 @@ def near_classes(texts: DataFrame) -> DataFrame:
     texts = cut(texts, "texts")
     ev, tr = texts.where("role in (2, 3)").select("cid", "folded"), texts.where("role in (1, 3)").select("cid", "folded")
     seen = np.zeros(1 << RARITY_BITS, dtype=np.int64)
-    counted = ev.mapInPandas(_count_windows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    seen[counted["bucket"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    counted = ev.mapInPandas(_count_windows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     passages = cut(ev.mapInPandas(_passages(sc.broadcast(seen)), _ROW + ", bit int"), "passages")
     stretches = cut(tr.mapInPandas(_stretches(sc.broadcast(_known(passages))), _ROW), "stretches")
     merged = scan_shards(passages, stretches).groupBy("e", "t").agg(F.collect_set(F.struct("at", "length")).alias("at"), F.first("size").alias("size"))
