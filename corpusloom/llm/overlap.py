@@ -37,7 +37,7 @@ from ..session import cut, drop_cut
 from .common import fold, source_name
 from .rolling import Prints, codes, mix
 
-CELL, LONGEST, GRAM = 5, 8, 3
+CELL, LONGEST, GRAM = 6, 9, 3
 WRONG = 0.12
 #: Bits of the fingerprint that number the counts of cells, and the map of windows that begin a passage.
 RARITY_BITS, KNOWN_BITS = 20, 26
@@ -64,9 +64,8 @@ def start_window(n: int) -> int:
     return min(CELL, cells(n)[1])
 
 
-#: Evaluation texts below this length have cells of less than ``CELL`` code points.
-SHORT = next(n for n in range(8, 99) if all(cells(m)[1] >= CELL for m in range(n, 999)))
-SHORTEST = min(start_window(n) for n in range(8, 999))
+#: Greatest length of a training text that a passage with such a start window can match; every length for whole cells.
+REACH = {q: max(n + most_edits(n) for n in range(8, 999) if start_window(n) == q) for q in sorted({start_window(n) for n in range(8, 999)})}
 
 
 class Joined:
@@ -134,7 +133,7 @@ def _count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bucket": some.astype(np.int32), "n": n[some]})
 
 
-_ROW = "key long, text string, cid long, size int, at int, s1 long, s2 long"
+_ROW = "key int, text string, cid long, size int, at int, s1 long, s2 long"
 
 
 def _passages(rarity):
@@ -155,9 +154,11 @@ def _passages(rarity):
             if out:
                 i, a, text = zip(*out, strict=True)
                 i, (where, q) = np.array(i), np.array(at).T
-                key = np.where(q == CELL, j.least(where, CELL), j.least(where, SHORTEST))
+                key = np.zeros(len(where), dtype=np.uint64)
+                for x in REACH:
+                    key[q == x] = j.least(where[q == x], x)
                 first = j.prints.at(where, where + q)
-                yield pd.DataFrame({"key": key.view(np.int64), "text": text, "cid": b["cid"].to_numpy()[i], "size": j.size[i].astype(np.int32), "at": np.array(a, dtype=np.int32), "s1": sig[i, 0], "s2": sig[i, 1], "bit": (first >> np.uint64(64 - KNOWN_BITS)).astype(np.int32)})
+                yield pd.DataFrame({"key": (key >> np.uint64(33)).astype(np.int32), "text": text, "cid": b["cid"].to_numpy()[i], "size": j.size[i].astype(np.int32), "at": np.array(a, dtype=np.int32), "s1": sig[i, 0], "s2": sig[i, 1], "bit": (first >> np.uint64(64 - KNOWN_BITS)).astype(np.int32)})
 
     return run
 
@@ -168,12 +169,12 @@ def _stretches(known):
         for b in _parts(batches):
             j = Joined(b["folded"].tolist())
             sig, ids = signatures(j), b["cid"].to_numpy()
-            for q in sorted({CELL, SHORTEST}):
+            for q, reach in REACH.items():
                 at, h = j.windows(q)
                 bit = (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
                 ok = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                if q < CELL:  # partners of the evaluation texts below SHORT only
-                    ok &= j.size[j.owner[at]] <= SHORT + most_edits(SHORT)
+                if q < CELL:
+                    ok &= j.size[j.owner[at]] <= reach
                 at = at[ok]
                 if len(at) == 0:
                     continue
@@ -182,7 +183,7 @@ def _stretches(known):
                 lo, i = at[new], own[new]
                 hi = np.minimum(at[np.r_[new[1:], len(at)] - 1] + LONGEST, j.end[i])
                 text = [j.text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                yield pd.DataFrame({"key": key[new].view(np.int64), "text": text, "cid": ids[i], "size": j.size[i].astype(np.int32), "at": (lo - j.start[i]).astype(np.int32), "s1": sig[i, 0], "s2": sig[i, 1]})
+                yield pd.DataFrame({"key": (key[new] >> np.uint64(33)).astype(np.int32), "text": text, "cid": ids[i], "size": j.size[i].astype(np.int32), "at": (lo - j.start[i]).astype(np.int32), "s1": sig[i, 0], "s2": sig[i, 1]})
 
     return run
 
@@ -236,7 +237,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one partition: first its passages, then its stretches."""
     held, shard = [], None
     for b in batches:
-        mine = b["kind"].to_numpy() == 0
+        where = b["place"].to_numpy()
+        b = b.assign(size=(where & 0x7FFFFFFF).astype(np.int32), at=(where >> 31 & 0x7FFFFFFF).astype(np.int32))
+        mine = where >> 62 == 0
         if mine.any():
             held.append(b[mine])
         if not mine.all():
@@ -267,12 +270,13 @@ def scan_shards(passages: DataFrame, stretches: DataFrame) -> DataFrame:
     parts = max(spark.sparkContext.defaultParallelism, -(-n_p // SHARD), -(-n_s // (10 * SHARD)))
     bound = max(HOT, 4 * (n_p + n_s) // parts)  # at most parts / 2 fingerprints have more
     both = [x.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("key", F.ceil(F.col("n") / bound).cast("int").alias(c)) for x, c in ((stretches, "r"), (passages, "c"))]
-    hot = spark.createDataFrame(both[0].join(both[1], "key", "full").select("key", F.coalesce("r", F.lit(1)), F.coalesce("c", F.lit(1))).collect(), "key long, r int, c int")
+    hot = spark.createDataFrame(both[0].join(both[1], "key", "full").select("key", F.coalesce("r", F.lit(1)), F.coalesce("c", F.lit(1))).collect(), "key int, r int, c int")
     fixed, every = lambda n: F.pmod(F.xxhash64("cid"), F.coalesce(F.col(n), F.lit(1))).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
-    row = ["key", "text", "cid", "size", "at", "s1", "s2"]
-    p = passages.join(F.broadcast(hot), "key", "left").select(F.lit(0).alias("kind"), *row, fixed("c").alias("in_c"), every("r").alias("in_r"))
-    s = stretches.join(F.broadcast(hot), "key", "left").select(F.lit(1).alias("kind"), *row, every("c").alias("in_c"), fixed("r").alias("in_r"))
-    both = p.unionByName(s).repartition(parts, "key", "in_c", "in_r").sortWithinPartitions("kind").drop("key", "in_c", "in_r")
+    row = lambda kind: ["key", "text", "cid", F.expr(f"shiftleft({kind}L, 62) | shiftleft(bigint(at), 31) | size").alias("place"), "s1", "s2"]
+    p = passages.join(F.broadcast(hot), "key", "left").select(*row(0), fixed("c").alias("in_c"), every("r").alias("in_r"))
+    s = stretches.join(F.broadcast(hot), "key", "left").select(*row(1), every("c").alias("in_c"), fixed("r").alias("in_r"))
+    both = p.unionByName(s).select(F.pmod(F.xxhash64("key", "in_c", "in_r"), F.lit(parts)).cast("int").alias("part"), "text", "cid", "place", "s1", "s2")
+    both = both.repartitionById(parts, "part").sortWithinPartitions("place").drop("part")
     return both.mapInPandas(_scan, "e long, t long, size int, at int, length int")
 
 
@@ -324,11 +328,10 @@ def distance_at_most(a: str, b: str, k: int) -> int:
 def _bags(texts: pd.Series, q: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of each text's bag, bags): counts of 256 classes of the windows of q code points."""
     which, each = pd.factorize(texts)
-    out = np.zeros((len(each), 256), dtype=np.int32)
-    for i, t in enumerate(each):
-        h = Prints(codes(t)).windows(q) & np.uint64(255)
-        out[i] = np.bincount(h.astype(np.int64), minlength=256)
-    return which, out
+    j = Joined(each.tolist())
+    at, h = j.windows(q)
+    n = np.bincount(j.owner[at] * 256 + (h & np.uint64(255)).astype(np.int64), minlength=256 * len(each))
+    return which, n.reshape(len(each), 256)
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
