@@ -1,9 +1,10 @@
 """Problem 4: sentence alignment in bilingual documents.
 
-Translation tables are estimated by expectation-maximisation: every iteration is one Spark job whose
-tasks return expected counts of their rows, summed by token pair, over all records and every token
-seen more than once. Lines of both sides then become
-bit sets: bit k of a source line's expected set is on where one of its tokens translates to token k.
+Every text is read once and written as its lines' distinct tokens, numbers and counts. Translation
+tables are estimated by expectation-maximisation: every iteration is one Spark job whose tasks return
+expected counts of their rows, summed by token pair, over all records and every token seen more than
+once. Lines of both sides then become bit sets: bit k of a source line's expected set is on where one
+of its tokens translates to token k.
 Competitive linking takes the best pair of lines anywhere in the record, strikes out the tokens the
 pair explains on both sides, and goes on with what is left of the lines; so lines may be reordered,
 several lines may share one partner, and lines without a partner stay alone.
@@ -11,17 +12,19 @@ several lines may share one partner, and lines without a partner stay alone.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut
+from ..session import cut
 from .common import fold
 
 _NOTE = re.compile(r"[\[(〔（［][^\])〕）］\n]*[\])〕）］]")
@@ -77,68 +80,115 @@ def tokens(line: str, side: str) -> tuple[list[str], list[int]]:
     return out, nums
 
 
+@lru_cache(1 << 17)
+def token_id(w: str) -> int:
+    """Number of a token: the code point of a character, a 56-bit hash of anything longer."""
+    return ord(w) if len(w) == 1 else int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=7).digest()) | 1 << 56
+
+
+Line = tuple[dict[int, int], list[int], int]
+
+
+def text_lines(text: str, name: str) -> list[Line]:
+    """(tokens with counts, distinct numbers, flags) of each line; flag 1: not blank, 2: it runs on."""
+    out = []
+    for x in text.split("\n"):
+        toks, nums = tokens(x, name)
+        end = x.rstrip()[-1:]
+        out.append((Counter(map(token_id if name == "en" else ord, toks)), sorted({n for n in nums if n < 1 << 62}), (end != "") + 2 * (end in _RUN and end != "")))
+    return out
+
+
+#: Columns of one side in the table of lines: ids, counts, ids a line, numbers, numbers a line, flags.
+_SIDE = "{0} array<long>, {0}n array<int>, {0}l array<int>, {0}x array<long>, {0}xl array<int>, {0}f array<int>"
+
+
+def _read(name: str):
+    """Texts as their lines' tokens."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for b in (whole.iloc[i : i + 2000] for i in range(0, len(whole), 2000)):
+                cols = {"rec_id": b["rec_id"].tolist()}
+                for c, column, side in (("h", "text_hj", "hj"), ("k", "side", name)):
+                    texts = [text_lines(t, side) for t in b[column]]
+                    cols[c] = [[w for x in t for w in x[0]] for t in texts]
+                    cols[c + "n"] = [[n for x in t for n in x[0].values()] for t in texts]
+                    cols[c + "l"] = [[len(x[0]) for x in t] for t in texts]
+                    cols[c + "x"] = [[n for x in t for n in x[1]] for t in texts]
+                    cols[c + "xl"] = [[len(x[1]) for x in t] for t in texts]
+                    cols[c + "f"] = [[x[2] for x in t] for t in texts]
+                yield pd.DataFrame(cols)
+
+    return run
+
+
+def _lines_of(b: pd.DataFrame, c: str) -> list[list[Line]]:
+    """The lines of a batch of :func:`_read`."""
+    out = []
+    for ids, sizes, nums, counts, flags in zip(*(b[c + x] for x in ("", "l", "x", "xl", "f")), strict=True):
+        ids, nums, lines, i, j = ids.tolist(), nums.tolist(), [], 0, 0
+        for n, m, f in zip(sizes.tolist(), counts.tolist(), flags.tolist(), strict=True):
+            lines.append((ids[i : i + n], nums[j : j + m], f))
+            i, j = i + n, j + m
+        out.append(lines)
+    return out
+
+
 class Lexicon:
     """Which tokens explain which: bit masks in both directions, without the commonest tokens."""
 
-    def __init__(self, src: list[str], tgt: list[str], cells: np.ndarray, counts: np.ndarray, common_src: set[str], common_tgt: set[str], least: float = 0.05, lift: float = 5.0):
-        self.src = {w: i for i, w in enumerate(src) if w not in common_src}
-        self.tgt = {w: i for i, w in enumerate(tgt) if w not in common_tgt}
+    def __init__(self, src: np.ndarray, tgt: np.ndarray, cells: np.ndarray, counts: np.ndarray, rare_src: np.ndarray, rare_tgt: np.ndarray, least: float = 0.05, lift: float = 5.0):
         self.n_src, self.n_tgt = len(src), len(tgt)
         h, k = np.divmod(cells, max(1, len(tgt)))
         by_h, by_k = np.bincount(h, counts, len(src)), np.bincount(k, counts, len(tgt))
         by_chance = by_h[h] * by_k[k] / max(counts.sum(), 1e-9)
         good = (counts >= least * np.maximum(by_h[h], 1e-9)) | (counts >= least * np.maximum(by_k[k], 1e-9)) | ((counts >= lift * by_chance) & (counts >= 2.0))
-        okc = np.zeros(len(tgt), dtype=bool)
-        okc[list(self.tgt.values())] = True
-        okr = np.zeros(len(src), dtype=bool)
-        okr[list(self.src.values())] = True
-        good &= okr[h] & okc[k]
+        good &= rare_src[h] & rare_tgt[k]
         fwd, bwd = [0] * len(src), [0] * len(tgt)
         for i, j in zip(h[good].tolist(), k[good].tolist(), strict=True):
             fwd[i] |= 1 << j
             bwd[j] |= 1 << i
-        self.fwd: dict[str, int] = {w: fwd[i] for w, i in self.src.items()}
-        self.bwd: dict[str, int] = {w: bwd[k] for w, k in self.tgt.items()}
+        #: token -> (its own bit, the bits of the tokens that explain it)
+        self.fwd: dict[int, tuple[int, int]] = {w: (1 << i, fwd[i]) for i, w in enumerate(src.tolist()) if rare_src[i]}
+        self.bwd: dict[int, tuple[int, int]] = {w: (1 << k, bwd[k]) for k, w in enumerate(tgt.tolist()) if rare_tgt[k]}
 
-    def line(self, toks: list[str], nums: list[int], forward: bool, extra: dict[int, int]) -> tuple[int, int]:
+    def line(self, line: Line, forward: bool, extra: dict[int, int]) -> tuple[int, int]:
         """(own bits, expected bits of the other side); a number is three bits, the same on both sides."""
-        index, across = (self.src, self.fwd) if forward else (self.tgt, self.bwd)
+        known = self.fwd if forward else self.bwd
         n_own, n_other = (self.n_src, self.n_tgt) if forward else (self.n_tgt, self.n_src)
         own = other = 0
-        for w in set(toks):
-            i = index.get(w)
-            if i is not None:
-                own |= 1 << i
-                other |= across[w]
-        for x in set(nums):
+        for e in map(known.get, line[0]):
+            if e is not None:
+                own |= e[0]
+                other |= e[1]
+        for x in line[1]:
             k = extra.setdefault(x, len(extra))
             own |= 7 << (n_own + 3 * k)
             other |= 7 << (n_other + 3 * k)
         return own, other
 
 
-def link_lines(hj: str, side: str, name: str, lex: Lexicon, least: float = 0.4, both: float = 0.15) -> list[tuple[int, int]]:
+def link_lines(hj: list[Line], side: list[Line], lex: Lexicon, least: float = 0.4, both: float = 0.15) -> list[tuple[int, int]]:
     """Linked (hj line, side line) pairs by competitive linking.
 
     A piece of a divided line that keeps few tokens of its own goes with its neighbour: where the
     neighbour's partner explains most of it, or where the text itself runs on over the line break.
     """
     extra: dict[int, int] = {}
-    a = [lex.line(*tokens(x, "hj"), True, extra) for x in hj.split("\n")]
-    lines = side.split("\n")
-    b = [lex.line(*tokens(x, name), False, extra) for x in lines]
+    a = [lex.line(x, True, extra) for x in hj]
+    b = [lex.line(x, False, extra) for x in side]
     cand = []
     na = [x[0].bit_count() for x in a]
     nb = [x[0].bit_count() for x in b]
+    others = [(j, own_b, exp_b, nb[j]) for j, (own_b, exp_b) in enumerate(b) if nb[j]]
     for i, (own_a, exp_a) in enumerate(a):
-        if not na[i]:
+        m = na[i]
+        if not m:
             continue
-        for j, (own_b, exp_b) in enumerate(b):
-            if not nb[j]:
-                continue
-            f, g = (own_a & exp_b).bit_count() / na[i], (own_b & exp_a).bit_count() / nb[j]
-            hi, lo = (f, g) if f >= g else (g, f)
-            if hi >= least:
+        for j, own_b, exp_b, n in others:
+            f, g = (own_a & exp_b).bit_count() / m, (own_b & exp_a).bit_count() / n
+            if f >= least or g >= least:
+                hi, lo = (f, g) if f >= g else (g, f)
                 cand.append((0.65 * hi + 0.35 * lo - 0.03 * abs(i / len(a) - j / len(b)), i, j))
     cand.sort(key=lambda x: (-x[0], x[1], x[2]))
     used_a, used_b = [0] * len(a), [0] * len(b)
@@ -155,11 +205,11 @@ def link_lines(hj: str, side: str, name: str, lex: Lexicon, least: float = 0.4,
     mine: dict[int, list[int]] = {}
     for i, j in out:
         mine.setdefault(j, []).append(i)
-    alone = [j for j in range(len(b)) if j not in mine and lines[j].strip()]
+    alone = [j for j in range(len(b)) if j not in mine and side[j][2] & 1]
     for j in alone:
         before, after = mine.get(j - 1), mine.get(j + 1)
-        runs_on = j > 0 and lines[j - 1].rstrip()[-1:] in _RUN
-        runs_out = lines[j].rstrip()[-1:] in _RUN
+        runs_on = j > 0 and side[j - 1][2] != 1
+        runs_out = side[j][2] != 1
         share = lambda i: (b[j][0] & a[i][1]).bit_count() / nb[j] if nb[j] else 0.0  # noqa: B023, E731
         near = [(share(i) + (1.0 if (k == 0 and runs_on) or (k == 1 and runs_out) else 0.0), i) for k, x in enumerate((before, after)) for i in (x or ())]
         if near:
@@ -171,74 +221,105 @@ def link_lines(hj: str, side: str, name: str, lex: Lexicon, least: float = 0.4,
     return out
 
 
-def _near(i: int, n: int, m: int) -> tuple[int, int]:
-    """Lines of the other side that may hold line i: its proportional place and one more to each side."""
-    at = (i + 0.5) * m / n
-    return max(0, int(at - 1.3)), min(m, int(at + 1.3) + 1)
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first .. first + size - 1 of each pair, one after the other."""
+    at = np.cumsum(size) - size
+    return np.repeat(first - at, size) + np.arange(size.sum())
+
+
+class Pairs:
+    """Training pairs of a batch: each hj line with the lines of the other side near its proportional
+    place, one more to each side."""
+
+    def __init__(self, b: pd.DataFrame):
+        flat = lambda c: np.concatenate([np.zeros(0, np.int64), *b[c]]).astype(np.int64)
+        self.h, self.hn, self.k, self.kn = flat("h"), flat("hn"), flat("k"), flat("kn")
+        self.h_ptr, self.k_ptr = np.r_[0, np.cumsum(flat("hl"))], np.r_[0, np.cumsum(flat("kl"))]
+        n, m = (b[c].map(len).to_numpy(dtype=np.int64) for c in ("hl", "kl"))
+        rec = np.repeat(np.arange(len(b)), n)
+        place = (np.arange(len(rec)) - (np.cumsum(n) - n)[rec] + 0.5) * m[rec] / n[rec]
+        first = (np.cumsum(m) - m)[rec]
+        self.lo = first + np.maximum(0, (place - 1.3).astype(np.int64))
+        self.hi = first + np.minimum(m[rec], (place + 1.3).astype(np.int64) + 1)
+
+    def seen(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Distinct tokens of each side and the number of pairs that have them."""
+        words, k = np.unique(self.k, return_inverse=True)
+        lo, hi = self.k_ptr[self.lo], self.k_ptr[self.hi]
+        n, step = np.zeros(len(words), dtype=np.int64), max(1, (1 << 24) // max(1, len(words)))
+        for x in range(0, len(lo), step):
+            size = (hi - lo)[x : x + step]
+            have = np.zeros((len(size), len(words)), dtype=bool)
+            have[np.repeat(np.arange(len(size)), size), k[_ranges(lo[x : x + step], size)]] = True
+            n += have.sum(axis=0)
+        return {"h": np.unique(self.h, return_counts=True), "k": (words, n)}
+
+    def cells(self, src: np.ndarray, tgt: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(cells, times of their hj token, first cell and number of cells and times of each token of the
+        other side), in blocks of whole pairs of about ``most`` cells; unknown tokens are left out."""
+        def known(words, raw, n, ptr):
+            i = np.searchsorted(words, raw)
+            i[i == len(words)] = 0
+            ok = words[i] == raw
+            return i[ok], n[ok].astype(np.float32), np.r_[0, np.cumsum(ok)][ptr]
+
+        h, hn, hp = known(src, self.h, self.hn, self.h_ptr)
+        k, kn, kp = known(tgt, self.k, self.kn, self.k_ptr)
+        h *= len(tgt)
+        h_lo, k_lo = hp[:-1], kp[self.lo]
+        n_h, n_k = hp[1:] - h_lo, kp[self.hi] - k_lo
+        live = np.flatnonzero((n_h > 0) & (n_k > 0))
+        h_lo, k_lo, n_h, n_k = h_lo[live], k_lo[live], n_h[live], n_k[live]
+        edge = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n_h * n_k) // most)) + 1, len(live)]
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if x == y:
+                continue
+            of_k = _ranges(k_lo[x:y], n_k[x:y])
+            size = np.repeat(n_h[x:y], n_k[x:y])
+            of_h = _ranges(np.repeat(h_lo[x:y], n_k[x:y]), size)
+            at = h[of_h]
+            at += np.repeat(k[of_k], size)
+            yield at, hn[of_h], np.cumsum(size) - size, size, kn[of_k]
 
 
-def line_pairs(hj: str, side: str, name: str) -> list[tuple[list[str], list[str]]]:
-    """Training pairs: a line and the tokens near its place on the other side."""
-    a, b = [tokens(x, "hj")[0] for x in hj.split("\n")], [tokens(x, name)[0] for x in side.split("\n")]
-    out = []
-    for i, x in enumerate(a):
-        lo, hi = _near(i, len(a), len(b))
-        out.append((x, [w for y in b[lo:hi] for w in y]))
-    return out
+def _count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Numbers of training pairs with a token, for each side; the number of pairs has the token -1."""
+    for b in batches:
+        pairs = Pairs(b)
+        for side, (w, n) in pairs.seen().items():
+            yield pd.DataFrame({"side": side, "w": np.r_[w, -1], "n": np.r_[n, len(pairs.lo)]})
 
 
-def _count_tokens(name: str):
-    """Numbers of training pairs with a token, for each side; the number of pairs has the token ''."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = {"h": Counter(), "k": Counter()}
-        for b in batches:
-            for h, s in zip(b["text_hj"], b["side"], strict=True):
-                for x, y in line_pairs(h, s, name):
-                    n["h"].update({*x, ""})
-                    n["k"].update({*y, ""})
-        for side, c in n.items():
-            if c:
-                yield pd.DataFrame({"side": side, "w": list(c), "n": list(c.values())})
-
-    return run
-
-
-def estimate(rows: DataFrame, name: str, rounds: int = 4) -> Lexicon:
+def estimate(lines: DataFrame, rounds: int = 4) -> Lexicon:
     """Translation table from all records and all tokens that more than one training pair has.
 
-    Expected counts are summed by the tasks, then by cell of the table; numbers are matched by value.
+    ``lines`` is a table of :func:`_read`. Expected counts are summed by the tasks, then by cell of the
+    table; numbers are matched by value.
     """
-    spark = rows.sparkSession
-    seen = rows.mapInPandas(_count_tokens(name), "side string, w string, n long").groupBy("side", "w").agg(F.sum("n").alias("n")).where("n > 1 or w = ''").toPandas()
-    seen = seen.sort_values(["n", "w"], ascending=[False, True])
-    lines = int(seen["n"][seen["w"] == ""].max()) if len(seen) else 0
-    fh, fk = ([(w, n) for w, n in zip(x["w"], x["n"].tolist(), strict=True) if w] for x in (seen[seen["side"] == c] for c in "hk"))
-    src, tgt = [w for w, _ in fh], [w for w, _ in fk]
+    sc = lines.sparkSession.sparkContext
+    seen = lines.mapInPandas(_count_tokens, "side string, w long, n long").groupBy("side", "w").agg(F.sum("n").alias("n")).where("n > 1 or w = -1").toArrow().to_pandas()
+    pairs = int(seen["n"][seen["w"] == -1].max()) if len(seen) else 0
+    (src, n_src), (tgt, n_tgt) = ((x["w"].to_numpy(dtype=np.int64), x["n"].to_numpy()) for x in (seen[(seen["side"] == c) & (seen["w"] != -1)].sort_values("w") for c in "hk"))
     cells, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
-    if src and tgt:
-        kinds = "h array<int>, hn array<int>, k array<int>, kn array<int>"
-        coded = cut(rows.mapInPandas(_encode(name, {w: i for i, w in enumerate(src)}, {w: i for i, w in enumerate(tgt)}), kinds).repartition(max(6, lines // 100_000)), "coded")
+    if len(src) and len(tgt):
         full = len(src) * len(tgt) <= CELLS
         if full:
             cells = np.arange(len(src) * len(tgt))
         else:
-            cells = np.sort(coded.mapInPandas(_cells(len(tgt)), "cell long").distinct().toPandas()["cell"].to_numpy(dtype=np.int64))
-        keys = spark.sparkContext.broadcast(None if full else cells)
+            cells = np.sort(lines.mapInPandas(_cells(src, tgt), "cell long").distinct().toArrow()["cell"].to_numpy())
+        keys = sc.broadcast((src, tgt, None if full else cells))
         counts = np.ones(len(cells), dtype=np.float32)
+        h = cells // len(tgt)
         for _ in range(rounds):
-            h = cells // len(tgt)
-            table = spark.sparkContext.broadcast((counts / np.maximum(np.bincount(h, counts, len(src)), 1e-9)[h]).astype(np.float32))
-            part = coded.mapInPandas(_expect(table, keys, len(tgt)), "block int, c binary")
+            table = sc.broadcast((counts / np.maximum(np.bincount(h, counts, len(src)), 1e-9)[h]).astype(np.float32))
+            part = lines.mapInPandas(_expect(table, keys), "block int, c binary")
             counts = np.zeros(len(cells), dtype=np.float32)
             for block, c in part.groupBy("block").applyInPandas(_add_blocks, "block int, c binary").collect():
                 c = np.frombuffer(c, dtype=np.float32)
                 counts[block * _BLOCK : block * _BLOCK + len(c)] = c
             table.unpersist()
         keys.unpersist()
-        drop_cut(coded)
-    common_h = {w for w, c in fh if c > 0.12 * lines}
-    common_k = {w for w, c in fk if c > 0.4 * lines}
-    return Lexicon(src, tgt, cells, counts, common_h, common_k)
+    return Lexicon(src, tgt, cells, counts, n_src <= 0.12 * pairs, n_tgt <= 0.4 * pairs)
 
 
 def _add_blocks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -247,46 +328,33 @@ def _add_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "c": [total.astype(np.float32).tobytes()]})
 
 
-def _encode(name: str, src: dict[str, int], tgt: dict[str, int]):
-    """Training pairs as numbers of the distinct known tokens and how often each occurs."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for h, s in zip(b["text_hj"], b["side"], strict=True):
-                for x, y in line_pairs(h, s, name):
-                    x, y = Counter(src[w] for w in x if w in src), Counter(tgt[w] for w in y if w in tgt)
-                    if x and y:
-                        out.append((list(x), list(x.values()), list(y), list(y.values())))
-            yield pd.DataFrame(out, columns=["h", "hn", "k", "kn"])
-
-    return run
-
-
-def _cells(width: int):
-    """Pairs of tokens that occur together, each once a task."""
+def _cells(src: np.ndarray, tgt: np.ndarray):
+    """Pairs of tokens that occur together, each once a batch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.zeros(0, dtype=np.int64)
         for b in batches:
-            new = [(h.astype(np.int64)[:, None] * width + k).ravel() for h, k in zip(b["h"], b["k"], strict=True)]
-            known = np.unique(np.concatenate([known, *new]))
-        yield pd.DataFrame({"cell": known})
+            for at, *_ in Pairs(b).cells(src, tgt):
+                yield pd.DataFrame({"cell": np.unique(at)})
 
     return run
 
 
-def _expect(table, keys, width: int):
+def _expect(table, keys):
+    """Expected counts of a task's pairs, in blocks of cells."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t: np.ndarray = table.value
-        cells: np.ndarray | None = keys.value
+        src, tgt, cells = keys.value
         total = np.zeros(len(t))
         for b in batches:
-            for h, hn, k, kn in zip(b["h"], b["hn"], b["k"], b["kn"], strict=True):
-                at = h.astype(np.int64)[:, None] * width + k
+            for at, hn, first, size, kn in Pairs(b).cells(src, tgt):
                 if cells is not None:
                     at = np.searchsorted(cells, at)
-                w = t[at] * hn[:, None]
-                w *= kn / np.maximum(w.sum(axis=0), 1e-12)
-                total[at] += w
+                w = t[at]
+                w *= hn
+                w *= np.repeat(kn / np.maximum(np.add.reduceat(w, first), 1e-12), size)
+                if len(total) < 2 * len(at):
+                    total += np.bincount(at, w, len(total))
+                else:
+                    np.add.at(total, at, w)
         for lo in range(0, len(total), 64 * _BLOCK):  # 64 blocks to a batch
             blocks = [(i // _BLOCK, total[i : i + _BLOCK]) for i in range(lo, min(len(total), lo + 64 * _BLOCK), _BLOCK)]
             blocks = [(i, c.astype(np.float32).tobytes()) for i, c in blocks if c.any()]
@@ -303,15 +371,16 @@ def linked_lines(aligned: DataFrame, side: str, column: str) -> DataFrame:
     share nothing gives no row.
     """
     rows = aligned.where(F.col("rec_id").isNotNull() & F.col("text_hj").isNotNull() & F.col(column).isNotNull()).select("rec_id", "text_hj", F.col(column).alias("side"))
-    lex = aligned.sparkSession.sparkContext.broadcast(estimate(rows, side))
+    lines = cut(rows.mapInPandas(_read(side), f"rec_id long, {_SIDE.format('h')}, {_SIDE.format('k')}"), "lines")
+    lex = aligned.sparkSession.sparkContext.broadcast(estimate(lines))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = lex.value
         for b in batches:
-            out = [(r, side, i, j) for r, h, s in zip(b["rec_id"], b["text_hj"], b["side"], strict=True) for i, j in link_lines(h, s, side, model)]
+            out = [(r, side, i, j) for r, h, s in zip(b["rec_id"].tolist(), _lines_of(b, "h"), _lines_of(b, "k"), strict=True) for i, j in link_lines(h, s, model)]
             yield pd.DataFrame(out, columns=["rec_id", "side", "hj_no", "side_no"])
 
-    return rows.mapInPandas(run, "rec_id long, side string, hj_no int, side_no int")
+    return lines.mapInPandas(run, "rec_id long, side string, hj_no int, side_no int")
 
 
 def aligned_lines(aligned: DataFrame) -> DataFrame:

@@ -194,11 +194,12 @@ def test_translation_table_has_every_token_of_every_record(spark, monkeypatch):
     han, ko = [chr(0x4E00 + i) for i in range(2600)], [chr(0xAC00 + i) for i in range(2600)]
     rows = [(i, han[i % 2600] + "。", ko[i % 2600] + ".", None) for i in range(13_000)]
     d = spark.createDataFrame(rows, "rec_id long, text_hj string, side string, text_en string").repartition(2)
+    d = d.mapInPandas(align._read("oko"), f"rec_id long, {align._SIDE.format('h')}, {align._SIDE.format('k')}")
     for cells in (align.CELLS, 1):  # all cells; only those that occur
         monkeypatch.setattr(align, "CELLS", cells)
-        lex = align.estimate(d, "oko", rounds=2)
-        assert len(lex.src) == len({fold(c) for c in han} - set("〇一二三四五六七八九十百千")) and len(lex.tgt) == 2600
-        assert all(align.link_lines(h, s, "oko", lex) == [(0, 0)] for _, h, s, _ in rows[:2600] if align.tokens(h, "hj")[0])
+        lex = align.estimate(d, rounds=2)
+        assert lex.n_src == len({fold(c) for c in han} - set("〇一二三四五六七八九十百千")) and lex.n_tgt == 2600
+        assert all(align.link_lines(align.text_lines(h, "hj"), align.text_lines(s, "oko"), lex) == [(0, 0)] for _, h, s, _ in rows[:2600] if align.tokens(h, "hj")[0])
 
 
 def test_fill_containers(spark):
