@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space as Java regex; the set equals Python's ``\s``.
@@ -61,3 +62,11 @@ def blank_to_null(c: Column) -> Column:
 def source_name(c: Column) -> Column:
     """Corpus name without blanks around it, in lower case; blank gives null."""
     return F.lower(blank_to_null(c))
+
+
+def bit_map(df: DataFrame, bits: int) -> np.ndarray:
+    """Map of 2 ** bits bits as bytes, on where column ``bit`` says so; Spark joins the bits word by word."""
+    words = df.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, bit & 63)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype="<i8")
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint8)

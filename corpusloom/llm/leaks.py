@@ -1,11 +1,13 @@
 """Problem 9: evaluation texts leaking into training text, by greedy string tiling.
 
-Every document is folded (letters and digits only, forms unified) and scanned once. Seeds are
-Karp-Rabin fingerprints of q code points that a document shares with a test item; documents with
-enough of an item's seeds are tiled: the longest matches not yet covered are marked again and
+Seeds are Karp-Rabin fingerprints of the items' windows of q code points, a Spark table; documents
+are folded (letters and digits only, forms unified) and their windows joined to it by fingerprint.
+Windows in no item go before the join, by a bit map of fixed size without false negatives; a table of
+seeds of checked size is joined where the windows are, a larger one by a shuffle. A document
+with enough of an item's seeds is tiled: the longest matches not yet covered are marked again and
 again, so reordered passages count too. Tiles that follow each other with a few wrong characters
 between them form passages; the two longest passages decide how much of the item stands there.
-Items are few by nature and are broadcast in blocks of bounded size; documents are never collected.
+Whether a document holds an item depends on these two alone, never on the other items.
 """
 
 from __future__ import annotations
@@ -19,89 +21,88 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from ..session import cut
+from .common import bit_map, fold
 from .rolling import Prints, codes
 
-Q, TILE, RARE, BLOCK_CHARS, BATCH_CHARS = 8, 5, 3, 4_000_000, 1_500_000
+Q, TILE, KNOWN_BITS, BATCH_CHARS = 8, 5, 24, 1_000_000
+#: Seeds with nothing near them on their diagonal say nothing about a passage: fewest of a band.
+BAND, GAP, REACH = 3, 12, 8
 
 _FREE = re.compile(b"\0+")
 
 
-class Items:
-    """Seed index of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        texts: dict[str, list[int]] = {}
-        for i, t in rows:
-            f = fold(t)
-            if f:
-                texts.setdefault(f, []).append(i)
-        self.ids = list(texts.values())  # items of the same wording are searched once
-        self.arrs = [codes(f) for f in texts]
-        h, owner, place = [], [], []
-        for k, a in enumerate(self.arrs):
-            x, at = np.unique(Prints(a).windows(min(Q, len(a))), return_index=True)
-            h.append(x)
-            place.append(at.astype(np.int32))
-            owner.append(np.full(len(x), k, dtype=np.int32))
-        none = np.zeros(0, np.int32)
-        hs, ow, pl = (np.concatenate(h), np.concatenate(owner), np.concatenate(place)) if h else (np.zeros(0, np.uint64), none, none)
-        _, inv, n = np.unique(hs, return_inverse=True, return_counts=True)
-        rare = n[inv] <= RARE
-        share = np.bincount(ow[rare], minlength=len(self.arrs)) / np.maximum(1, np.bincount(ow, minlength=len(self.arrs)))
-        keep = rare | (share[ow] < 0.5)  # an item of common wording only keeps all its seeds
-        hs, ow, pl = hs[keep], ow[keep], pl[keep]
-        order = np.argsort(hs, kind="stable")
-        self.seed, first = np.unique(hs[order], return_index=True)
-        self.first = np.append(first, len(hs))
-        self.owner, self.place = ow[order], pl[order]
-        self.n = np.bincount(ow, minlength=len(self.arrs))
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[(self.seed >> np.uint64(42)).astype(np.int64)] = True
-        self.short = min((len(a) for a in self.arrs), default=Q) < Q
-
-    def candidates(self, arr: np.ndarray, doc: np.ndarray, start: np.ndarray, least: float) -> list[tuple[int, int, np.ndarray]]:
-        """(document, item, places) of pairs where at least the part ``least`` of the item's seeds stands
-        on the four fullest bands of diagonals (place in the document less place in the item); places are
-        the document's places of these seeds. Seeds scattered over stock phrases lie on many bands."""
-        if len(self.seed) == 0 or len(arr) == 0:
-            return []
-        p = Prints(arr)
-        pairs, places, diags = [], [], []
-        for q in sorted({min(Q, len(a)) for a in self.arrs}) if self.short else [Q]:
-            h = p.windows(q)
-            at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-            hh = h[at]
-            k = np.searchsorted(self.seed, hh)
-            k[k == len(self.seed)] = 0
-            ok = self.seed[k] == hh
-            at, k = at[ok], k[ok]
-            n = self.first[k + 1] - self.first[k]
-            src = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at, n)
-            d = doc[at].astype(np.int64)
-            pairs.append(d * len(self.arrs) + self.owner[src])
-            places.append(at - start[d])
-            diags.append(at - start[d] - self.place[src])
-        pair, place, diag = np.concatenate(pairs), np.concatenate(places), np.concatenate(diags)
-        u, inv, n = np.unique(pair, return_inverse=True, return_counts=True)
-        some = n >= np.maximum(1, least * self.n[u % len(self.arrs)])
-        sel = some[inv]
-        pair, place, diag = pair[sel], place[sel], diag[sel]
-        if len(pair) == 0:
-            return []
-        order = np.lexsort((diag, pair))
-        pair, place, diag = pair[order], place[order], diag[order]
-        edge = np.flatnonzero(np.r_[True, np.diff(pair) != 0, True])
-        out = []
-        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            band = np.cumsum(np.r_[0, np.diff(diag[x:y]) > 12])  # a band ends where no seed follows within 12 diagonals
-            size = np.bincount(band)
-            best = np.argsort(-size, kind="stable")[:4]
-            item = int(pair[x] % len(self.arrs))
-            if size[best].sum() >= least * self.n[item]:
-                out.append((int(pair[x] // len(self.arrs)), item, place[x:y][np.isin(band, best)]))
-        return out
+def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct seeds of each item with their first place and their number."""
+    for b in batches:
+        for i, t in zip(b["iid"].tolist(), b["item"], strict=True):
+            h, at = np.unique(Prints(codes(t)).windows(min(Q, len(t))), return_index=True)
+            yield pd.DataFrame({"h": h.view(np.int64), "bit": (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int32), "q": min(Q, len(t)), "iid": i, "place": at.astype(np.int32), "n": len(h)})
+
+
+class Documents:
+    """Folded documents as one array, with the windows that may be seeds."""
+
+    def __init__(self, texts: list[str]):
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        self.owner = np.repeat(np.arange(len(texts)), self.size + 1)
+        self.arr = codes("\0".join(texts) + "\0")
+        self.prints = Prints(self.arr)
+
+    def windows(self, bits: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(fingerprints, documents, places) for each size of seeds."""
+        for q in sizes:
+            h = self.prints.windows(q)
+            bit = (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+            at = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            d = self.owner[at]
+            yield h[at].view(np.int64), d, at - self.start[d]
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, Documents]]:
+    """Folded documents in blocks of about ``BATCH_CHARS`` code points."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        for i, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
+            if f := fold(t):
+                ids.append(i)
+                texts.append(f)
+                held += len(f)
+            if held >= BATCH_CHARS:
+                yield np.array(ids), Documents(texts)
+                ids, texts, held = [], [], 0
+    if ids:
+        yield np.array(ids), Documents(texts)
+
+
+def _windows(known, sizes: list[int]):
+    """Windows of documents that may be seeds, as rows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, docs in _blocks(batches):
+            for h, d, at in docs.windows(known.value, sizes):
+                yield pd.DataFrame({"h": h, "doc_id": ids[d], "at": at.astype(np.int32)})
+
+    return run
+
+
+def in_bands(diag: np.ndarray, at: np.ndarray, n: int, size: int, seeds: float, least: float) -> np.ndarray | None:
+    """Places of the seeds that stand with others on a band of diagonals; nothing where they are less
+    than the part ``seeds`` of an item's n seeds, or where the two bands that cover most of its ``size``
+    code points, ``REACH`` around each seed, cannot make up the part ``least``. A passage lies on one
+    band; seeds scattered over stock phrases lie on many."""
+    place = at - diag
+    order = np.lexsort((at, diag))
+    band = np.empty(len(at), dtype=np.int64)
+    band[order] = np.cumsum(np.r_[0, np.diff(diag[order]) > GAP])  # a band ends where no seed follows within GAP diagonals
+    keep = np.bincount(band)[band] >= min(BAND, seeds * n)
+    if keep.sum() < seeds * n:
+        return None
+    order = np.lexsort((place, band))
+    step = np.diff(place[order], append=place[order[-1]])
+    step[np.r_[np.diff(band[order]) != 0, True]] = Q + 2 * REACH
+    cover = np.minimum(size, np.bincount(band[order], np.minimum(step, Q + 2 * REACH)))
+    return at[keep] if np.sort(cover)[-2:].sum() >= least * size else None
 
 
 def matches(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -187,59 +188,108 @@ def near(doc: np.ndarray, places: np.ndarray, around: int) -> np.ndarray:
     return out[inside]
 
 
-def _scan(rows: list[tuple[int, str]], least: float, seeds: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Items(rows)
+def held_part(doc: np.ndarray, item: np.ndarray, diag: np.ndarray, at: np.ndarray, n: int, least: float, seeds: float) -> tuple[float, int] | None:
+    """(part of the item in its two longest passages, their number) where it is at least ``least``."""
+    places = in_bands(diag, at, n, len(item), seeds, least)
+    if places is None:
+        return None
+    part, k = two_passages(item, near(doc, places, 2 * Q + len(item) // 4))
+    return (part, k) if part >= least else None
 
-        def some(ids: list[int], texts: list[str]) -> pd.DataFrame:
-            size = np.array([len(t) + 1 for t in texts])
-            arr = codes("\0".join(texts) + "\0")
-            start = np.cumsum(size) - size
-            out = []
-            for d, k, at in index.candidates(arr, np.repeat(np.arange(len(texts)), size), start, seeds):
-                part, n = two_passages(index.arrs[k], near(arr[start[d] : start[d] + size[d] - 1], at, 2 * Q + len(index.arrs[k]) // 4))
-                if part >= least:
-                    out += [(ids[d], i, part, n) for i in index.ids[k]]
-            return pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "n_passages"])
 
-        ids, texts, held = [], [], 0
+def _verify(least: float, seeds: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                f = fold(t)
-                if not f:
-                    continue
-                ids.append(i)
-                texts.append(f)
-                held += len(f)
-                if held >= BATCH_CHARS:
-                    yield some(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield some(ids, texts)
+            out = []
+            for d, i, n, diag, at, text, item in zip(*(b[c] for c in ("doc_id", "iid", "n", "diag", "at", "text", "item")), strict=True):
+                got = held_part(codes(fold(text)), codes(item), np.asarray(diag), np.asarray(at), n, least, seeds)
+                if got:
+                    out.append((d, i, *got))
+            yield pd.DataFrame(out, columns=["doc_id", "iid", "coverage", "n_passages"])
 
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, least: float = 0.5, seeds: float = 0.18) -> DataFrame:
+class Index:
+    """All seeds and items, where they are few enough for a broadcast."""
+
+    def __init__(self, seeds: pd.DataFrame, items: pd.DataFrame):
+        self.iid = items["iid"].to_numpy()
+        self.items = items["item"].tolist()
+        order = np.argsort(self.iid)
+        self.iid, self.items = self.iid[order], [self.items[i] for i in order]
+        seeds = seeds.sort_values("h", kind="stable")
+        self.h, first = np.unique(seeds["h"].to_numpy(), return_index=True)
+        self.first = np.append(first, len(seeds))
+        self.item, self.place = np.searchsorted(self.iid, seeds["iid"].to_numpy()), seeds["place"].to_numpy()
+        self.n = np.bincount(self.item, minlength=len(self.iid))
+
+    def search(self, docs: Documents, found, least: float, seeds: float) -> Iterator[tuple[int, int, float, int]]:
+        """(document, item's id, part, passages); ``found`` gives the windows that may be seeds."""
+        pairs, diags, ats = [], [], []
+        for h, d, at in found:
+            k = np.searchsorted(self.h, h)
+            k[k == len(self.h)] = 0
+            ok = np.flatnonzero(self.h[k] == h) if len(self.h) else np.zeros(0, np.int64)
+            n = self.first[k[ok] + 1] - self.first[k[ok]]
+            src = np.repeat(self.first[k[ok]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(at[ok], n)
+            pairs.append(np.repeat(d[ok], n) * len(self.iid) + self.item[src])
+            diags.append(at - self.place[src])
+            ats.append(at)
+        if not pairs:
+            return
+        pair, diag, at = np.concatenate(pairs), np.concatenate(diags), np.concatenate(ats)
+        u, which, n = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = n >= np.maximum(1, seeds * self.n[u % len(self.iid)])
+        keep = np.flatnonzero(enough[which])
+        keep = keep[np.argsort(which[keep], kind="stable")]
+        edge = np.r_[0, np.cumsum(n[enough])]
+        for p, x, y in zip(u[enough].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            d, i = divmod(p, len(self.iid))
+            s = docs.start[d]
+            got = held_part(docs.arr[s : s + docs.size[d]], codes(self.items[i]), diag[keep[x:y]], at[keep[x:y]], int(self.n[i]), least, seeds)
+            if got:
+                yield d, int(self.iid[i]), *got
+
+
+def _search(index, known, sizes: list[int], least: float, seeds: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, docs in _blocks(batches):
+            out = [(ids[d], *x) for d, *x in index.value.search(docs, docs.windows(known.value, sizes), least, seeds)]
+            yield pd.DataFrame(out, columns=["doc_id", "iid", "coverage", "n_passages"])
+
+    return run
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, least: float = 0.5, seeds: float = 0.18, most: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, coverage, n_passages): documents that hold at least ``least`` of an item.
 
     ``least`` is the part of the item's letters and digits in at most two passages; ``seeds`` the part
     of its seeds a document needs to be tiled at all. Null and empty texts and rows without id hold nothing and are held
     nowhere; items of the same wording are each reported; documents that come again are each reported.
+    Up to ``most`` seeds are broadcast and the documents are read once; beyond that seeds and windows
+    are joined as Spark tables and only candidates' texts are read again. Both ways give the same rows.
     """
-    out, block, held = None, [], 0
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator()
-    blocks = []
-    for r in rows:  # block by block; a block is at most BLOCK_CHARS and one item long
-        block.append((r[0], r[1]))
-        held += len(r[1])
-        if held >= BLOCK_CHARS:
-            blocks.append(block)
-            block, held = [], 0
-    if block or not blocks:
-        blocks.append(block)
+    sc = docs.sparkSession.sparkContext
+
+    @F.pandas_udf("string")
+    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(fold)
+
+    named = cut(items.where("item_id is not null and text is not null").select("item_id", folded("text").alias("item")).where("length(item) > 0"), "items")
+    each = named.groupBy("item").agg(F.min("item_id").alias("iid"))  # items of the same wording are searched once
+    table = cut(each.mapInPandas(_seeds, "h long, bit int, q int, iid long, place int, n int"), "seeds")
+    sizes = sorted(r[0] for r in table.select("q").distinct().collect())  # at most Q
     d = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    for b in blocks:
-        one = d.mapInPandas(_scan(b, least, seeds), "doc_id long, item_id long, coverage double, n_passages int")
-        out = one if out is None else out.unionAll(one)
-    return out
+    known = sc.broadcast(bit_map(table, KNOWN_BITS))
+    if table.count() <= most:
+        index = sc.broadcast(Index(table.select("h", "iid", "place").toArrow().to_pandas(), each.toArrow().to_pandas()))
+        found = d.mapInPandas(_search(index, known, sizes, least, seeds), "doc_id long, iid long, coverage double, n_passages int")
+    else:
+        hits = d.mapInPandas(_windows(known, sizes), "h long, doc_id long, at int").join(table, "h")
+        pairs = hits.groupBy("doc_id", "iid").agg(F.first("n").alias("n"), F.collect_list(F.struct((F.col("at") - F.col("place")).alias("diag"), "at")).alias("hits"))
+        cand = pairs.where(F.size("hits") >= F.greatest(F.lit(1.0), F.lit(seeds) * F.col("n"))).select("doc_id", "iid", "n", F.col("hits.diag").alias("diag"), F.col("hits.at").alias("at"))
+        found = cand.join(d, "doc_id").join(each, "iid").mapInPandas(_verify(least, seeds), "doc_id long, iid long, coverage double, n_passages int")
+    return found.join(each, "iid").join(named, "item").select("doc_id", "item_id", "coverage", "n_passages")

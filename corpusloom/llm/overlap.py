@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, drop_cut
-from .common import fold, source_name
+from .common import bit_map, fold, source_name
 from .rolling import Prints, codes, mix
 
 CELL, LONGEST, GRAM = 6, 9, 3
@@ -250,14 +250,6 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield shard.scan(b[~mine])
 
 
-def _known(passages: DataFrame) -> np.ndarray:
-    """Bit map of the windows that begin a passage: bits are joined by Spark, word by word."""
-    words = passages.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, bit & 63)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (KNOWN_BITS - 6), dtype=np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.view(np.uint8)
-
-
 def scan_shards(passages: DataFrame, stretches: DataFrame) -> DataFrame:
     """(e, t, size, at, length): every match of a passage in a stretch, each shard by one automaton.
 
@@ -384,7 +376,7 @@ def near_classes(texts: DataFrame) -> DataFrame:
     counted = ev.mapInPandas(_count_windows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     seen[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     passages = cut(ev.mapInPandas(_passages(sc.broadcast(seen)), _ROW + ", bit int"), "passages")
-    stretches = cut(tr.mapInPandas(_stretches(sc.broadcast(_known(passages))), _ROW), "stretches")
+    stretches = cut(tr.mapInPandas(_stretches(sc.broadcast(bit_map(passages, KNOWN_BITS))), _ROW), "stretches")
     merged = scan_shards(passages, stretches).groupBy("e", "t").agg(F.collect_set(F.struct("at", "length")).alias("at"), F.first("size").alias("size"))
     cand = merged.select("e", "t", (F.expr("aggregate(at, 0, (n, x) -> n + x.length)") / F.col("size")).alias("coverage"))
     x = cand.join(texts.select(F.col("cid").alias("e"), F.col("folded").alias("e_text")), "e")
