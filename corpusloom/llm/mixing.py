@@ -4,7 +4,7 @@ For a source with C characters, share s and at most m repeats the mean number of
 ``s * T / C``, where T is the largest total at which no source needs more than m copies of its
 records on average. Each record draws its number of copies by inverting the distribution of
 min(Poisson(lambda), m) at a uniform number hashed from its key, with lambda solved so that the
-mean is met exactly. Rows are exploded by their counts and put in a global random order.
+mean is met exactly. Rows are exploded by their counts, texts with them, and put in a global random order.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import blank_to_null, source_name
 
+#: Targets are one row for each source; a list longer than this is refused, never cut off.
+MOST_TARGETS = 100_000
+
 
 def capped_mean(lam: float, m: int) -> float:
     """Mean of min(Poisson(lam), m)."""
@@ -74,7 +78,9 @@ def plan(records: DataFrame, targets: DataFrame) -> tuple[list[dict], float]:
     t = targets.select(source_name(F.col("meta_corpus")).alias("source"), F.lower(blank_to_null(F.col("lang_src"))).alias("lang"), "target_share", "max_repeat")
     t = t.where("source is not null and lang is not null and target_share > 0 and max_repeat > 0").groupBy("source", "lang").agg(F.sum("target_share").alias("share"), F.min("max_repeat").alias("most"))
     have = records.groupBy("source", "lang").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("records"))
-    rows = [r.asDict() for r in t.join(have, ["source", "lang"], "left").orderBy("source", "lang").limit(10_000).collect()]
+    rows = [r.asDict() for r in t.join(have, ["source", "lang"], "left").orderBy("source", "lang").limit(MOST_TARGETS + 1).collect()]
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     live = [r for r in rows if r["chars"]]
     whole = sum(r["share"] for r in live)
     total = min((r["most"] * r["chars"] / (r["share"] / whole) for r in live), default=0.0)
@@ -85,31 +91,33 @@ def plan(records: DataFrame, targets: DataFrame) -> tuple[list[dict], float]:
 
 
 def copies(pairs: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame, list[dict]]:
-    """(k, rec_id, source, lang, chars, n): how often each record comes; n >= 1 only."""
-    rec = current_records(pairs)
+    """(k, rec_id, source, lang, chars, n): how often each record comes; n >= 1 only.
+
+    Records are found once and written to the shared folder; the thresholds of all targets are a small
+    table joined to them (a broadcast of at most ``MOST_TARGETS`` rows).
+    """
+    rec = cut(current_records(pairs), "records")
     rows, _ = plan(rec, targets)
-    u = unit_hash(F.col("k"), seed)
-    cases, rates = None, [r for r in rows if r["mean"] > 0]
-    for r in rates:
-        n = sum((F.when(F.col("u") >= F.lit(x), 1).otherwise(0) for x in thresholds(r["rate"], r["most"])), F.lit(0))
-        hit = (F.col("source") == r["source"]) & (F.col("lang") == r["lang"])
-        cases = F.when(hit, n) if cases is None else cases.when(hit, n)
-    n = F.lit(0) if cases is None else cases.otherwise(0)
-    return rec.withColumn("u", u).withColumn("n", n).where("n > 0").select("k", "rec_id", "source", "lang", "chars", "n"), rows
+    steps = [(r["source"], r["lang"], thresholds(r["rate"], r["most"])) for r in rows if r["mean"] > 0]
+    table = F.broadcast(pairs.sparkSession.createDataFrame(steps, "source string, lang string, steps array<double>"))
+    n = F.expr("size(filter(steps, x -> u >= x))")
+    d = rec.withColumn("u", unit_hash(F.col("k"), seed)).join(table, ["source", "lang"]).withColumn("n", n)
+    return d.where("n > 0").select("k", "rec_id", "source", "lang", "chars", "n"), rows
 
 
 def mixture(pairs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """(rec_id, copy_no, source, lang, chars, place): the mixture in a global random order.
+    """(rec_id, copy_no, source, lang, chars, place, text_src): the mixture in a global random order.
 
-    ``place`` is a 63-bit hash of record and copy; the rows are sorted by it across all partitions.
-    Texts are joined by rec_id where they are needed. Sources without a target are left out; targets
+    ``place`` is a 63-bit hash of record and copy; the rows are sorted by it across all partitions,
+    texts and all. Rows without rec_id stand in no mixture. Sources without a target are left out; targets
     without records reach nothing and their shares go to the others in proportion; an empty target
     list gives an empty mixture.
     """
     c, _ = copies(pairs, targets, seed)
-    out = c.select("k", "rec_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "source", "lang", F.col("chars").cast("long").alias("chars"))
+    out = c.join(pairs.select("rec_id", "text_src"), "rec_id")
+    out = out.select("k", "rec_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "source", "lang", F.col("chars").cast("long").alias("chars"), "text_src")
     place = F.shiftrightunsigned(F.xxhash64("k", "copy_no", F.lit(seed)), 1)
-    return out.select("rec_id", "copy_no", "source", "lang", "chars", place.alias("place")).orderBy("place", "rec_id", "copy_no")
+    return out.select("rec_id", "copy_no", "source", "lang", "chars", place.alias("place"), "text_src").orderBy("place", "rec_id", "copy_no")
 
 
 def shares(pairs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
