@@ -194,15 +194,17 @@ def _places(patterns: list[Pattern]) -> tuple[list[tuple], int]:
     return out, first
 
 
-def fill_containers(docs: DataFrame, specs: DataFrame, tokenizer: ByteBpe | None = None, most_specs: int = 64) -> DataFrame:
+def fill_containers(docs: DataFrame, specs: DataFrame, tokenizer: ByteBpe | None = None, most_specs: int = 10_000) -> DataFrame:
     """(spec_id, container, doc_id, piece_no, from_token, tokens): every token of every document in one container.
 
     A text longer than a container gives full containers of its own and one rest that is packed with
     the others; any other text stays whole. Texts without tokens and null texts are in no container.
-    Capacities that are null or not positive are left out; of repeated spec ids the largest counts.
+    Capacities that are null or not positive are left out, more than ``most_specs`` are refused; of repeated spec ids the largest counts.
     """
     spark = docs.sparkSession
-    want = [(r[0], r[1]) for r in specs.where("capacity_tokens > 0 and spec_id is not null").groupBy("spec_id").agg(F.max("capacity_tokens")).orderBy("spec_id").limit(most_specs).collect()]
+    want = [(r[0], r[1]) for r in specs.where("capacity_tokens > 0 and spec_id is not null").groupBy("spec_id").agg(F.max("capacity_tokens")).orderBy("spec_id").limit(most_specs + 1).collect()]
+    if len(want) > most_specs:
+        raise ValueError(f"more than {most_specs} capacities")
     sized = cut(document_sizes(docs, tokenizer).where("tokens > 0"), "sizes")
     out = None
     for spec, cap in want:

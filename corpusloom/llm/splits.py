@@ -4,7 +4,8 @@ Related records are joined through entry ids and days. Components come from rand
 contraction: in every round each vertex draws a coin from a hash of its name and the round; a
 vertex with tails moves into its smallest neighbour with heads; contracted edges are made distinct
 and written to the shared folder. When no edge is left the labels are unwound from the last round
-to the first. Every step is a SQL join or a pre-aggregated groupBy; nothing is collected.
+to the first. Every step is a SQL join or a pre-aggregated groupBy. What reaches the driver is bounded:
+one row for each split, hash bucket, and group or id above a fixed share of all rows.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def broken_groups(pairs: DataFrame, aligned: DataFrame) -> DataFrame:
     return g.where("lo <> hi").select("group_id")
 
 
-def assign_splits(pairs: DataFrame, aligned: DataFrame, targets: DataFrame, big_share: float = 0.002, buckets: int = 1024) -> DataFrame:
+def assign_splits(pairs: DataFrame, aligned: DataFrame, targets: DataFrame, big_share: float = 0.002, buckets: int = 1024, most_splits: int = 1000) -> DataFrame:
     """(rec_id, group_id, split_new): every record with a split near the target shares, groups whole.
 
     A record without an entry id is a group of its own. Groups with at least ``big_share`` of all
@@ -102,15 +103,19 @@ def assign_splits(pairs: DataFrame, aligned: DataFrame, targets: DataFrame, big_
     most room left; the others follow in hash order and are cut at the cumulative weights that fill
     the rest. Cumulative weights come from ``buckets`` hash buckets (summed on the driver, fixed
     number) plus a running sum inside each bucket, so no task sees all groups. Empty or null targets
-    give null splits; equal shares are kept in the order of the split's name.
+    give null splits; equal shares are kept in the order of the split's name; more than
+    ``most_splits`` targets are refused. Records without id get their split without any join; ids
+    above ``big_share`` are joined by broadcast, so that no key of a shuffled join is hot.
     """
     spark = pairs.sparkSession
     rel = cut(related_entries(pairs, aligned), "related")
     groups = rel.groupBy("label").agg(F.min("id").alias("group_id"), F.sum("rows").alias("rows"))
     alone = pairs.select("rec_id", entry_key(F.col("meta_data_id_hj")).alias("id"))
-    solo = alone.where("id is null").select(F.concat(F.lit("r:"), F.col("rec_id").cast("string")).alias("group_id"), F.lit(1).cast("long").alias("rows"))
-    allg = cut(groups.select("group_id", "rows").unionAll(solo).withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(buckets))), "groups")
-    shares = [(r[0], float(r[1])) for r in targets.where("split is not null and target_share > 0").groupBy("split").agg(F.sum("target_share")).orderBy("split").limit(1000).collect()]
+    solo = alone.where("id is null").select(F.concat(F.lit("r:"), F.col("rec_id").cast("string")).alias("group_id"), F.lit(1).cast("long").alias("rows"), "rec_id", F.lit(True).alias("solo"))
+    allg = cut(groups.select("group_id", "rows", F.lit(None).cast("long").alias("rec_id"), F.lit(False).alias("solo")).unionAll(solo).withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(buckets))), "groups")
+    shares = [(r[0], float(r[1])) for r in targets.where("split is not null and target_share > 0").groupBy("split").agg(F.sum("target_share")).orderBy("split").limit(most_splits + 1).collect()]
+    if len(shares) > most_splits:
+        raise ValueError(f"more than {most_splits} splits")
     total = allg.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     norm = sum(s for _, s in shares) or 1.0
     want = {n: s / norm * total for n, s in shares}
@@ -137,15 +142,19 @@ def assign_splits(pairs: DataFrame, aligned: DataFrame, targets: DataFrame, big_
     offsets = F.element_at(F.array(*[F.lit(x) for _, x in base]), (F.col("bucket") + 1).cast("int"))
     w = Window.partitionBy("bucket").orderBy(F.xxhash64(F.col("group_id"), F.lit(7)), "group_id").rowsBetween(Window.unboundedPreceding, 0)
     mid = offsets + F.sum("rows").over(w) - F.col("rows") / 2
-    pick = F.lit(None).cast("string")
-    for n, top in reversed(cuts):
-        pick = F.when(F.col("mid") <= top, F.lit(n)).otherwise(pick) if n != cuts[-1][0] else F.lit(n)
-    chosen = small.withColumn("mid", mid).select("group_id", pick.cast("string").alias("split_new"))
-    bigdf = spark.createDataFrame(placed, "group_id string, split_new string")
-    lookup = chosen.unionAll(bigdf)
-    by_id = rel.join(groups.select("label", "group_id"), "label").select("id", "group_id")
-    rows = alone.join(by_id, "id", "left").select("rec_id", F.coalesce("group_id", F.concat(F.lit("r:"), F.col("rec_id").cast("string"))).alias("group_id"))
-    return rows.join(lookup, "group_id", "left").select("rec_id", "group_id", "split_new")
+    pick = F.lit(None)
+    if cuts:  # the first split whose cumulative weight is reached, the last one at most
+        below = F.size(F.filter(F.lit([top for _, top in cuts[:-1]] or [float("inf")]), lambda top: top < F.col("mid")))
+        pick = F.element_at(F.lit([n for n, _ in cuts]), below + 1)
+    chosen = small.withColumn("mid", mid).select("group_id", pick.cast("string").alias("split_new"), "rec_id", "solo")
+    bigdf = F.broadcast(spark.createDataFrame(placed, "group_id string, split_big string"))  # at most 1 / big_share rows
+    named = rel.join(groups.select("label", "group_id"), "label").join(chosen.where("not solo").select("group_id", "split_new"), "group_id", "left").join(bigdf, "group_id", "left")
+    by_id = cut(named.select("id", "group_id", F.coalesce("split_big", "split_new").alias("split_new"), (F.col("rows") >= least).alias("hot")), "ids")
+    hot = F.broadcast(by_id.where("hot").select("id", F.col("group_id").alias("hot_group"), F.col("split_new").alias("hot_split"), "hot"))  # at most 1 / big_share ids
+    known = alone.where("id is not null").join(hot, "id", "left")
+    found = known.where("hot").select("rec_id", F.col("hot_group").alias("group_id"), F.col("hot_split").alias("split_new"))
+    found = found.unionAll(known.where("hot is null").join(by_id.where("not hot"), "id").select("rec_id", "group_id", "split_new"))
+    return found.unionAll(chosen.where("solo").select("rec_id", "group_id", "split_new"))
 
 
 def split_shares(pairs: DataFrame, assigned: DataFrame, targets: DataFrame) -> DataFrame:
