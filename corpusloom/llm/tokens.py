@@ -19,9 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import blank_to_null, source_name
 
-TOKENIZERS = "/opt/tokenizers"
+#: Folder of vocabulary files, where the environment does not name another.
+TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
+#: A piece in more than 1 / HEAD of all rows of frequencies is joined by broadcast; there are fewer than HEAD.
+HEAD = 4096
 #: Pre-splitting of the byte-level vocabularies: contractions, letters, digits, marks, blanks.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -138,25 +142,34 @@ def piece_frequencies(df: DataFrame, key: str, text: str, tokenizer) -> DataFram
 
 
 def piece_lengths(pieces: DataFrame, length: Callable[[str], int]) -> DataFrame:
-    """(piece, tokens): each distinct piece tokenized once."""
+    """``pieces`` with the tokens of each piece, which must be distinct: each is tokenized once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b) == 0:
                 continue
-            yield pd.DataFrame({"piece": b["piece"], "tokens": [length(p) for p in b["piece"]]})
+            yield b.assign(tokens=[length(p) for p in b["piece"]])
 
-    return pieces.select("piece").distinct().mapInPandas(run, "piece string, tokens long")
+    return pieces.select("piece", "documents").mapInPandas(run, "piece string, documents long, tokens long")
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer) -> DataFrame:
     """(key, tokens): exact number of tokens of each document; null and blank texts have 0.
 
-    Rows without key are left out; keys that repeat are summed. A stock piece is one row per document before the join; a piece in a
-    great part of all documents is a skewed key of the join that adaptive execution splits.
+    Rows without key are left out; keys that repeat are summed. Texts are pre-split once: the
+    frequencies are written to the shared folder. A stock piece is one row per document; pieces in more
+    than 1 / ``HEAD`` of these rows are joined by broadcast, so no key of the shuffled join is hot.
     """
-    freq = piece_frequencies(df, key, text, tokenizer)
-    got = freq.join(piece_lengths(freq, tokenizer.length), "piece").groupBy(key).agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
+    freq = cut(piece_frequencies(df, key, text, tokenizer), "pieces")
+    each = freq.groupBy("piece").agg(F.count(F.lit(1)).alias("documents"))
+    least = freq.count() // HEAD
+    lengths = cut(piece_lengths(each, tokenizer.length).select("piece", "documents", "tokens"), "lengths")
+    head = F.broadcast(lengths.where(F.col("documents") > least).select("piece", F.col("tokens").alias("head_tokens")))
+    x = freq.join(head, "piece", "left")
+    tail = lengths.where(F.col("documents") <= least).select("piece", "tokens")
+    parts = x.where("head_tokens is not null").select(key, (F.col("n") * F.col("head_tokens")).alias("m"))
+    parts = parts.unionAll(x.where("head_tokens is null").join(tail, "piece").select(key, (F.col("n") * F.col("tokens")).alias("m")))
+    got = parts.groupBy(key).agg(F.sum("m").alias("tokens"))
     return df.select(key).where(F.col(key).isNotNull()).distinct().join(got, key, "left").select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
