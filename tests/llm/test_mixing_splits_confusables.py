@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import confusables, mixing, splits
 
@@ -116,3 +117,53 @@ def test_lookalikes(spark):
     got = {tuple(r) for r in confusables.lookalikes(d, "rec_id", "text_hj", m).collect()}
     assert got == {(1, 2), (2, 3), (9, 10)}
     assert confusables.lookalikes(d.limit(0), "rec_id", "text_hj", m.limit(0)).count() == 0
+
+
+def test_long_lists_are_used_or_refused_whole(spark, monkeypatch):
+    n = 10_050
+    p = spark.createDataFrame([(i, f"k{i}", f"c{i}", "hj", "x" * 5, None) for i in range(n)], "rec_id long, key2 string, meta_corpus string, lang_src string, text_src string, loaded_at timestamp")
+    t = spark.createDataFrame([(f"c{i}", "hj", 1.0, 2) for i in range(n)], "meta_corpus string, lang_src string, target_share double, max_repeat int")
+    got = mixing.mixture(p, t)
+    assert got.groupBy("source").count().where("count = 2").count() == n and got.where("text_src <> 'xxxxx'").count() == 0
+    monkeypatch.setattr(mixing, "MOST_TARGETS", 10)
+    with pytest.raises(ValueError):
+        mixing.mixture(p, t)
+    a = spark.createDataFrame([], "meta_data_id_hj string, date_id string")
+    q = spark.createDataFrame([(1, None, "train", "x")], "rec_id long, meta_data_id_hj string, split string, text_src string")
+    shares = spark.createDataFrame([(f"s{i}", 1.0) for i in range(1001)], "split string, target_share double")
+    with pytest.raises(ValueError):
+        splits.assign_splits(q, a, shares)
+    assert splits.assign_splits(q, a, shares, most_splits=2000).count() == 1
+
+
+def test_hot_and_missing_ids_get_one_split(spark):
+    rows = [(i, "k1", "train", "x") for i in range(300)] + [(1000 + i, None, "train", "x") for i in range(300)] + [(2000 + i, f"w{i % 40 + 2}", "test", "x") for i in range(200)] + [(None, None, None, None)]
+    p = spark.createDataFrame(rows, "rec_id long, meta_data_id_hj string, split string, text_src string")
+    a = spark.createDataFrame([("k2", "d"), ("K3 ", "d ")], "meta_data_id_hj string, date_id string")
+    t = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, target_share double")
+    got = splits.assign_splits(p, a, t)
+    assert got.count() == len(rows)
+    per = {r.group_id: r.n for r in got.where("group_id is not null").groupBy("group_id").agg(F.countDistinct("split_new").alias("n")).collect()}
+    assert set(per.values()) == {1} and len(per) == 1 + 300 + 39
+    ids = {r.rec_id: r.group_id for r in got.collect()}
+    assert ids[2000] == ids[2001] == "k2" and ids[0] == "k1" and ids[1000] == "r:1000"
+
+
+def test_look_alikes_of_other_scripts_lists_with_cycles_and_runs():
+    assert form("ϹοсА") == form("CocA") == "CocA"
+    for x, y in (("Ꭺpple", "Apple"), ("ⲟpen", "open"), ("ꓮB", "AB"), ("ꓚꓳꓠ", "CON"), ("ᎠᎡ", "DR")):
+        assert form(x) == y
+    assert form("甲", {"甲": "乙", "乙": "甲"}) == form("乙", {"甲": "乙", "乙": "甲"})
+    assert form("甲x", {"甲": "乙", "乙": "丙", "丙": "乙"}) == form("丙x", {"甲": "乙", "乙": "丙", "丙": "乙"})
+    assert form("(三)月", {"(三)": "三", "(": "["}) == "三月" and form("a(b", {"(": "["}) == "a[b"
+
+
+def test_look_alike_classes_and_hot_forms(spark):
+    forms = ["Ａ甲", "A甲", "A\u200b甲"]
+    rows = [(i, forms[i % 3]) for i in range(60)] + [(100, "乙"), (101, "乙"), (102, None), (103, "\u200b"), (None, "A甲")]
+    d = spark.createDataFrame(rows, "rec_id long, t string")
+    m = spark.createDataFrame([], "src string, tgt string")
+    c = confusables.lookalike_classes(d, "rec_id", "t", m).collect()
+    assert len(c) == 60 and {r.class_id for r in c} == {0} and {r.spelling_id for r in c} == {0, 1, 2} and {r.spellings for r in c} == {3}
+    got = [tuple(r) for r in confusables.lookalikes(d, "rec_id", "t", m, part=7).collect()]
+    assert len(got) == len(set(got)) == 3 * 20 * 20 and all(a < b and a % 3 != b % 3 for a, b in got)

@@ -295,6 +295,20 @@ def test_leaks(spark):
     assert leaks.leaked_items(d, it.limit(0)).count() == 0 and leaks.leaked_items(d.limit(0), it).count() == 0
 
 
+def test_leaks_do_not_depend_on_the_other_items(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    item = word(160)
+    twins = [item[:52] + word(100) for _ in range(5)]
+    docs = [(1, word(200) + item[:52] + word(150) + item[90:126] + word(90)), (2, word(300) + item[:52])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    alone = spark.createDataFrame([(7, item)], "item_id long, text string")
+    among = spark.createDataFrame([(7, item), *((100 + i, t) for i, t in enumerate(twins)), (300, "甲乙")], "item_id long, text string")
+    for it in (alone, among):
+        for most in (10**6, 0):  # broadcast seeds; joined seeds
+            assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, it, most=most).collect()} == {(1, 7)}
+
+
 def test_ppm_code_lengths_are_exact():
     m = langid.Trees({"en": ["abab abab"], "ko": ["가나가나"]}, order=2)
     b = "abz".encode()
