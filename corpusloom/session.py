@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,14 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; only where unset (tests) a local one."""
+    """Folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder is made, deleted at the end, but only for a local master: on a
+    cluster a folder of one machine is shared with nobody, so this raises.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             got = jdir.get()
         else:
-            got = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="corpusloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            got = "file://" + folder
             spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
