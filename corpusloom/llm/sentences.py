@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +31,20 @@ LONGEST = 0.1
 OPEN, CLOSE = "「『“‘〈《（(〔［[", "」』”’〉》）)〕］]"
 _PAIR = dict(zip(CLOSE, OPEN, strict=True))
 _MARKS = "。．｡.！？!?…‥"
+# The other characters with the Unicode property Sentence_Terminal, of all scripts.
+_MARKS += "".join(c for c in regex.findall(r"\p{SB=STerm}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))) if c not in _MARKS)
 _ENTRY = "○◯●◎〇"
 # Particles that close a sentence of classical Chinese.
 PARTICLES = "矣焉也云哉耳乎"
 
 
 class _Scripts(dict):
-    """translate() table of script signs, filled on demand: h Han, k kana, g Hangul, l Latin."""
+    """translate() table of script signs, filled on demand: h Han, k kana, g Hangul, l the alphabets that
+    end sentences with a full stop, a all other letters."""
 
     def __missing__(self, cp: int) -> str | None:
         c = chr(cp)
-        out = "h" if 0x3400 <= cp <= 0x9FFF or 0xF900 <= cp <= 0xFAFF else "k" if 0x3040 <= cp <= 0x30FA else "g" if 0xAC00 <= cp <= 0xD7A3 else "l" if cp < 0x250 and c.isalpha() and cp not in (0xAA, 0xB5, 0xBA) else None
+        out = "h" if 0x3400 <= cp <= 0x9FFF or 0xF900 <= cp <= 0xFAFF else "k" if 0x3040 <= cp <= 0x30FA else "g" if 0xAC00 <= cp <= 0xD7A3 else "l" if c.isalpha() and (cp < 0x600 or 0x10A0 <= cp < 0x1100 or 0x1E00 <= cp < 0x2000) and cp not in (0xAA, 0xB5, 0xBA) else "a" if c.isalpha() else None
         self[cp] = out
         return out
 
@@ -49,9 +53,11 @@ _SCRIPTS = _Scripts()
 
 
 def kind_of(text: str) -> str:
-    """ja, ko, en (any alphabet) or han, by the letters of the text."""
+    """ja, ko, en (alphabets with full stops), any (other scripts) or han, by the letters of the text."""
     signs = text.translate(_SCRIPTS)
-    han, kana, hangul, latin = (signs.count(x) for x in "hkgl")
+    han, kana, hangul, latin, other = (signs.count(x) for x in "hkgla")
+    if other > han + kana + hangul + latin:
+        return "any"
     if kana * 8 > han + kana and kana * 2 > latin:
         return "ja"
     if hangul > latin and hangul * 2 > han:
@@ -113,9 +119,9 @@ def _last(text: str, end: int, kind: str) -> str:
 
 _SPECIAL = {
     k: re.compile("[" + re.escape(_MARKS) + "]+|[" + re.escape(OPEN + CLOSE + "\"'＂") + "]|[○◯●◎]" + more)
-    for k, more in (("han", rf"|\s+|[{PARTICLES}]"), ("ja", r"|\s+"), ("ko", r"|\s*[\n\u2028\u2029\u3000]\s*|\s\s+"), ("en", r"|\s*[\n\u2028\u2029\u3000]\s*|\s\s+"))
+    for k, more in (("han", rf"|\s+|[{PARTICLES}]"), ("ja", r"|\s+"), ("ko", r"|\s*[\n\u2028\u2029\u3000]\s*|\s\s+"), ("en", r"|\s*[\n\u2028\u2029\u3000]\s*|\s\s+"), ("any", r"|\s*[\n\u2028\u2029\u3000]\s*|\s\s+"))
 }
-_GO_ON = "、，,；;：:"
+_GO_ON = "、，,；;：:،؛"
 
 
 def places(text: str, kind: str) -> list[Place]:
@@ -253,7 +259,7 @@ def observe(text: str, counts: Counter) -> None:
         if p.how in "mebq":
             group = p.how if p.how in "qe" else "m"
             add(f"close{group}", p.close)
-            sure = strong or (p.how in "qeb" and sep and bool(p.sep) and kind in ("han", "ja")) or (p.how == "m" and kind in ("han", "ja"))
+            sure = strong or (p.how in "qeb" and sep and bool(p.sep) and kind in ("han", "ja")) or (p.how == "m" and kind in ("han", "ja", "any"))
             if sure:
                 add(f"close{group}+", p.close)
                 if p.open:
@@ -337,7 +343,7 @@ class Model:
         if p.how == "o":
             return 5.0
         if p.how == "m":
-            if kind in ("han", "ja"):
+            if kind in ("han", "ja", "any"):
                 return 6.0
             base = 4.0 + self.ratio(kind, "closem", p.close) + 0.5 * max(-3.0, o)
             if kind == "en":
@@ -427,7 +433,7 @@ def learn(texts: DataFrame) -> Model:
         yield pd.DataFrame([(k, f, s, n) for (k, f, s), n in total.items()], columns=["kind", "feature", "slot", "n"])
 
     rows = texts.where("text is not null").select("text").mapInPandas(run, "kind string, feature string, slot int, n long")
-    got = rows.groupBy("kind", "feature", "slot").agg(F.sum("n").alias("n")).where("n > 1 or slot < 0").toPandas()
+    got = rows.groupBy("kind", "feature", "slot").agg(F.sum("n").alias("n")).where("n > 1 or slot < 0").toArrow().to_pandas()
     return Model({(k, f, s): n for k, f, s, n in zip(got["kind"], got["feature"], got["slot"], got["n"], strict=True)})
 
 

@@ -267,6 +267,26 @@ def test_sentence_ends_query(spark):
     assert sentences.sentence_ends(d.limit(0)).count() == 0
 
 
+def test_sentences_of_other_scripts(spark):
+    cases = {
+        "hi": ["यह पहला वाक्य है।", "क्या यह दूसरा वाक्य है?", "तीसरा वाक्य ३.५ किलो का है।"],
+        "ar": ["هذه هي الجملة الأولى.", "هل هذه هي الجملة الثانية؟", "نعم، هذه الثالثة."],
+        "ur": ["یہ پہلا جملہ ہے۔", "کیا یہ دوسرا ہے؟"],
+        "my": ["ဤသည်မှာ ပထမဝါကျ ဖြစ်သည်။", "ဒုတိယ ဝါကျ ဖြစ်သည်။"],
+        "am": ["ይህ የመጀመሪያው ዓረፍተ ነገር ነው።", "ሁለተኛው ይህ ነው።"],
+        "ru": ["Это первое предложение.", "Это второе предложение?", "Третье стоит 3.5 рубля."],
+    }
+    rows = [(i, " ".join(s)) for i, s in enumerate(cases.values())]
+    want = set()
+    for i, s in enumerate(cases.values()):
+        at = 0
+        for x in s:
+            at += len(x)
+            want.add((i, at))
+            at += 1
+    assert {tuple(r) for r in sentences.sentence_ends(spark.createDataFrame(rows, "text_id long, text string")).collect()} == want
+
+
 def test_tiling_covers_like_brute_force():
     rng = random.Random(2)
     for _ in range(40):
