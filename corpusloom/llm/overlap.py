@@ -11,8 +11,8 @@ each class. No pair within the bound of ``WRONG`` can be missed:
 2. Shards. A passage belongs to the least fingerprint of the three-point windows at its start. Every
    window of every training text is looked at: it has a least fingerprint too, and runs of windows
    with the same one are stretches that only the shard of that fingerprint can match. Windows that
-   begin no passage at all (a bit map of fixed size, without false negatives) are left out before
-   the shuffle. So each piece of a training text goes to one shard, and work grows with the texts,
+   begin no passage of a text of like length (a bit map of fixed size, without false negatives) are
+   left out before the shuffle. So each piece of a training text goes to one shard, and work grows with the texts,
    not with texts times shards.
 3. Scan. Each shard builds one Aho-Corasick automaton over its passages and runs it over its
    stretches. A match counts where place, length and the parities of 128 classes of code points
@@ -40,7 +40,7 @@ from .rolling import Prints, codes, mix
 CELL, LONGEST, GRAM = 6, 9, 3
 WRONG = 0.12
 #: Bits of the fingerprint that number the counts of cells, and the map of windows that begin a passage.
-RARITY_BITS, KNOWN_BITS = 20, 26
+RARITY_BITS, KNOWN_BITS = 20, 27
 #: Passages of one shard, about; its automaton takes some 100 bytes for each.
 SHARD = 300_000
 #: Rows of one fingerprint above which it is split.
@@ -68,6 +68,16 @@ def start_window(n: int) -> int:
 REACH = {q: max(n + most_edits(n) for n in range(8, 999) if start_window(n) == q) for q in sorted({start_window(n) for n in range(8, 999)})}
 
 
+def size_class(n: np.ndarray | int) -> np.ndarray:
+    """Number of the class of lengths; a class reaches as far as a partner's length does."""
+    return (np.log(np.maximum(n, 1)) / -np.log(1 - WRONG)).astype(np.int64)
+
+
+def known_bit(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bit of a window in texts of a class of lengths."""
+    return (mix(h + sizes.astype(np.uint64)) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+
+
 class Joined:
     """Many texts as one array of code points, a break after each, with the fingerprints of all windows."""
 
@@ -136,6 +146,12 @@ def _count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _ROW = "key int, text string, cid long, size int, at int, s1 long, s2 long"
 
 
+def _bits(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bits of the windows in all classes of lengths that hold partners of texts of n code points."""
+    lo, hi = size_class(np.ceil(n * (1 - WRONG) - 1e-6)), size_class(n / (1 - WRONG) + 1e-6)
+    return np.stack([known_bit(h, np.minimum(lo + d, hi)) for d in range(4)], axis=1)
+
+
 def _passages(rarity):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: np.ndarray = rarity.value
@@ -158,7 +174,7 @@ def _passages(rarity):
                 for x in REACH:
                     key[q == x] = j.least(where[q == x], x)
                 first = j.prints.at(where, where + q)
-                yield pd.DataFrame({"key": (key >> np.uint64(33)).astype(np.int32), "text": text, "cid": b["cid"].to_numpy()[i], "size": j.size[i].astype(np.int32), "at": np.array(a, dtype=np.int32), "s1": sig[i, 0], "s2": sig[i, 1], "bit": (first >> np.uint64(64 - KNOWN_BITS)).astype(np.int32)})
+                yield pd.DataFrame({"key": (key >> np.uint64(33)).astype(np.int32), "text": text, "cid": b["cid"].to_numpy()[i], "size": j.size[i].astype(np.int32), "at": np.array(a, dtype=np.int32), "s1": sig[i, 0], "s2": sig[i, 1], "bits": _bits(first, j.size[i]).tolist()})
 
     return run
 
@@ -171,7 +187,7 @@ def _stretches(known):
             sig, ids = signatures(j), b["cid"].to_numpy()
             for q, reach in REACH.items():
                 at, h = j.windows(q)
-                bit = (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+                bit = known_bit(h, size_class(j.size)[j.owner[at]])
                 ok = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
                 if q < CELL:
                     ok &= j.size[j.owner[at]] <= reach
@@ -375,8 +391,8 @@ def near_classes(texts: DataFrame) -> DataFrame:
     seen = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     counted = ev.mapInPandas(_count_windows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     seen[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    passages = cut(ev.mapInPandas(_passages(sc.broadcast(seen)), _ROW + ", bit int"), "passages")
-    stretches = cut(tr.mapInPandas(_stretches(sc.broadcast(bit_map(passages, KNOWN_BITS))), _ROW), "stretches")
+    passages = cut(ev.mapInPandas(_passages(sc.broadcast(seen)), _ROW + ", bits array<int>"), "passages")
+    stretches = cut(tr.mapInPandas(_stretches(sc.broadcast(bit_map(passages.select(F.explode("bits").alias("bit")), KNOWN_BITS))), _ROW), "stretches")
     merged = scan_shards(passages, stretches).groupBy("e", "t").agg(F.collect_set(F.struct("at", "length")).alias("at"), F.first("size").alias("size"))
     cand = merged.select("e", "t", (F.expr("aggregate(at, 0, (n, x) -> n + x.length)") / F.col("size")).alias("coverage"))
     x = cand.join(texts.select(F.col("cid").alias("e"), F.col("folded").alias("e_text")), "e")

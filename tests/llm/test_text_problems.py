@@ -106,7 +106,7 @@ def scanned(evaluation, training):
     one.value = np.zeros(1 << overlap.RARITY_BITS, dtype=np.int64)
     p = pd.concat(overlap._passages(one)(iter([frame(evaluation, 0)])))
     one.value = np.zeros(1 << (overlap.KNOWN_BITS - 3), dtype=np.uint8)
-    bit = p["bit"].to_numpy()
+    bit = np.concatenate(p["bits"].to_list())
     np.bitwise_or.at(one.value, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
     s = pd.concat(overlap._stretches(one)(iter([frame(training, len(evaluation))])))
     keys = set(p["key"])
