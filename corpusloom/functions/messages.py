@@ -1,4 +1,4 @@
-"""Dates written in words, chat messages, prices."""
+"""Dates written in words and chat messages."""
 
 from __future__ import annotations
 
@@ -43,6 +43,18 @@ def translation_messages(src: Column, tgt: Column, lang_src: Column, lang_tgt: C
     return F.when(ask.isNotNull() & tgt.isNotNull(), F.to_json(F.array(msg("user", ask), msg("assistant", tgt))))
 
 
+def prompt_messages(src: Column, lang_src: Column, lang_tgt: Column, ref: Column | None = None, lang_ref: Column | None = None) -> Column:
+    """Chat messages with the question alone as JSON; with a reference translation to go by where one is given."""
+    a, b = _language(lang_src), _language(lang_tgt)
+    if ref is None:
+        ask = [F.lit("Translate the following text from "), a, F.lit(" into "), b, F.lit(".\n"), a, F.lit(": "), src]
+    else:
+        r = _language(lang_ref)
+        ask = [F.lit("Translate the following text from "), a, F.lit(" into "), b, F.lit(", based on the reference translation in "), r, F.lit(".\n"), a, F.lit(": "), src, F.lit("\n"), r, F.lit(": "), ref]
+    ask = F.concat(*ask, F.lit("\n"), b, F.lit(": "))
+    return F.when(ask.isNotNull(), F.to_json(F.array(F.struct(F.lit("user").alias("role"), ask.alias("content")))))
+
+
 def sharegpt_to_roles(c: Column) -> Column:
     """JSON list of from/value turns as JSON list of role/content turns."""
     m = F.create_map(F.lit("human"), F.lit("user"), F.lit("gpt"), F.lit("assistant"), F.lit("system"), F.lit("system"))

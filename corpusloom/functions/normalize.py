@@ -14,7 +14,13 @@ from .text import squeeze_blanks
 _JAMO = r"[\x{1100}-\x{11FF}\x{3131}-\x{318E}\x{A960}-\x{A97C}\x{D7B0}-\x{D7FB}\x{FFA0}-\x{FFDC}]"
 _KANA = r"[\x{FF65}-\x{FF9F}]"
 # Marks that look alike, found and kept.
-SIMILAR = {"‧": "·", "・": "·", "･": "·", "ㆍ": "·", "∙": "·", "⋅": "·", "‐": "-", "‑": "-", "–": "-", "−": "-", "“": '"', "”": '"', "‘": "'", "’": "'", "〜": "~", "…": "..."}
+SIMILAR = {"‧": "·", "・": "·", "･": "·", "ㆍ": "·", "ᆞ": "·", "∙": "·", "⋅": "·", "‐": "-", "‑": "-", "–": "-", "—": "-", "―": "-", "−": "-", "“": '"', "”": '"', "‟": '"', "‘": "'", "’": "'", "∶": ":", "…": "..."}
+# Radicals, variants and marks that no decomposition unifies, found and kept.
+UNIFIED = dict([
+    "‧·", "⺋㔾", "⺖忄", "⺘扌", "⺞歺", "⺡氵", "⺣灬", "⺤爫", "⺨犭", "⺩𤣩", "⺫罒", "⺭礻", "⺮𥫗", "⺯糹", "⺰纟", "⺲罒", "⺴⺳", "⺷𦍌", "⺼月", "⺾艹",
+    "⻂衤", "⻃覀", "⻈讠", "⻊𧾷", "⻌辶", "⻏阝", "⻑長", "⻒镸", "⻔门", "⻖阝", "⻗雨", "ム厶", "㦳㘽", "䎛㖈", "内內", "呑吞", "尙尚", "岀出", "敻夐", "爲為",
+    "耈耇", "蔿蒍", "説說", "飮飲", "龺𠦝", "︰：", "﹐，", "﹑、", "﹔；", "﹕：", "﹖？", "﹗！", "𠑗㒨", "𣔕𠓲", "𤈎㶷", "𤑕爋", "𤧩𤦼", "𧅄虁", "𧥙𣁀", "𧢮䚕",
+])
 
 
 def _singles(keep) -> tuple[str, str]:
@@ -30,8 +36,8 @@ def _singles(keep) -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
-#: CJK compatibility ideographs and radicals: rebuilt from Unicode's own decompositions.
-CJK = _singles(lambda cp, ch: 0xF900 <= cp < 0xFB00 or 0x2F00 <= cp < 0x2FE0 or cp >= 0x2F800 or cp in (0x2E9F, 0x2EF3))
+#: CJK compatibility ideographs and radicals: Unicode's own decompositions and the fixed values.
+CJK = tuple(a + b for a, b in zip(_singles(lambda cp, ch: 0xF900 <= cp < 0xFB00 or 0x2F00 <= cp < 0x2FE0 or cp >= 0x2F800 or cp in (0x2E9F, 0x2EF3, 0x3038)), ("".join(UNIFIED), "".join(UNIFIED.values())), strict=True))
 #: Punctuation with a one-character compatibility form.
 MARKS = _singles(lambda cp, ch: unicodedata.category(ch)[0] == "P")
 

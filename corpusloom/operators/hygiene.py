@@ -42,40 +42,57 @@ def _has_map(df: DataFrame) -> bool:
     return any("map<" in t for _, t in df.dtypes)
 
 
+def text_digest(texts: list[str]) -> Column:
+    """Digest of several texts; null where one is null."""
+    return F.sha2(F.concat(*[x for c in texts for x in (F.length(c).cast("string"), F.lit(":"), F.col(c))]), 256)
+
+
 def dedup_within(df: DataFrame, split: str, texts: list[str], key: str, seed: int = 42) -> DataFrame:
     """First row by hash of each text inside each split. Rows without split, or without text, vanish.
 
     The shuffle key is a digest of the texts, not the texts.
     """
     ok = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (split, *texts)]))
-    digest = F.sha2(F.concat_ws("\u0001", *[F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in texts]), 256)
-    d = ok.withColumn("_digest", digest).withColumn("_u", F.sha2(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")), 256))
+    d = ok.withColumn("_digest", text_digest(texts)).withColumn("_u", F.sha2(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")), 256))
     rest = [c for c in df.columns if c != split]
     g = d.groupBy(split, "_digest").agg(F.min_by(F.struct(*rest), F.struct("_u", key)).alias("_s"))
     return g.select(*[F.col(c) if c == split else F.col(f"_s.{c}") for c in df.columns])
 
 
 def drop_leaks(df: DataFrame, split: str, texts: list[str], held: str, cleaned: list[str]) -> DataFrame:
-    """Rows of the cleaned splits go if their text occurs in the held split; all other rows stay."""
-    h = df.where(F.col(split) == held).select(*[F.col(c).alias(f"_h_{c}") for c in texts]).distinct()
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_h_{c}") for c in texts])
-    part = df.where(F.col(split).isin(cleaned)).join(h, same, "left_anti")
-    return part.unionByName(df.where(~F.coalesce(F.col(split).isin(cleaned), F.lit(False))))
+    """Rows of the cleaned splits go if their text occurs in the held split; all other rows stay.
+
+    The table is read twice: for the digests of the held split and for the rows, of which those outside
+    the cleaned splits, or with a null text, have no digest and meet nothing.
+    """
+    digest = text_digest(texts)
+    h = df.where(F.col(split) == held).select(digest.alias("_digest")).where("_digest is not null").distinct()
+    return df.withColumn("_digest", F.when(F.col(split).isin(cleaned), digest)).join(h, "_digest", "left_anti").drop("_digest")
 
 
-def hygiene(df: DataFrame, split: str, text: str, key: str) -> DataFrame:
+def hygiene(df: DataFrame, split: str, text: str, key: str, length: Column | None = None, most: int = 2048) -> DataFrame:
     """Dedup inside splits, then no text of train in valid or test, none of valid in test: one shuffle on a digest.
 
     Equal to the three steps one after the other for the plain splits train, valid and test: of each
     text only the rows of its strongest split (test before valid before train) stay, and of these the
-    first by hash. Other splits are only deduplicated. Null split or text: the row goes.
+    first by hash. Other splits are only deduplicated. Null split or text: the row goes. With ``length``,
+    in whatever unit the caller counts, rows without 0 < length <= most go last.
     """
     rank = F.when(F.col(split) == "test", 0).when(F.col(split) == "valid", 1).when(F.col(split) == "train", 2)
     d = df.where(F.col(split).isNotNull() & F.col(text).isNotNull())
     plain = F.col(split).isin("train", "valid", "test")
     d = d.withColumn("_g", F.when(plain, F.lit("")).otherwise(F.col(split))).withColumn("_digest", F.sha2(F.col(text), 256)).withColumn("_u", F.sha2(F.concat(F.col(key).cast("string"), F.lit("/42")), 256))
     g = d.groupBy("_g", "_digest").agg(F.min_by(F.struct(*df.columns), F.struct(F.coalesce(rank, F.lit(0)), "_u", key)).alias("_s"))
-    return g.select("_s.*")
+    out = g.select("_s.*")
+    return out if length is None else out.where((length > 0) & (length <= most))
+
+
+def merge_answers(df: DataFrame, answers: DataFrame, keys: list[str], answer: str, out: str, label: str = r"^(?:답|A):\s*") -> DataFrame:
+    """``df`` with the answers joined back as column ``out``: the label before an answer goes, answers that
+    begin with a Latin letter are blanked. Of several answers to the same keys the least counts."""
+    a = F.regexp_replace(answer, label, "")
+    few = answers.select(*keys, F.when(~a.rlike("^[A-Za-z]"), a).alias(out)).groupBy(*keys).agg(F.min(out).alias(out))
+    return df.join(few, keys, "left")
 
 
 def stratified(df: DataFrame, by: list[str], key: str, n: int, first: Column | None = None) -> DataFrame:

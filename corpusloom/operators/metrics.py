@@ -130,7 +130,12 @@ def _bleu_named(p: str) -> Column:
 def entity_spans(df: DataFrame, key: str, tagged: str) -> DataFrame:
     """(key, start, end, label) of the tagged stretches of a text."""
     items = to_items(F.col(tagged))
-    ends = F.transform(F.sequence(F.lit(1), F.size("_i")), lambda k: F.aggregate(F.slice("_i", 1, k), F.lit(0), lambda acc, x: acc + F.length(x["text"])))
+
+    @F.pandas_udf("array<int>")
+    def running(sizes: pd.Series) -> pd.Series:
+        return sizes.map(np.cumsum)
+
+    ends = running(F.transform("_i", lambda x: F.length(x["text"])))
     d = df.select(key, items.alias("_i")).where(F.size("_i") > 0).withColumn("_e", ends)
     d = d.select(key, F.explode(F.arrays_zip(F.col("_i").alias("i"), F.col("_e").alias("e"))).alias("x")).where("x.i.name is not null")
     return d.select(key, (F.col("x.e") - F.length("x.i.text")).alias("start"), F.col("x.e").alias("end"), F.col("x.i.name").alias("label"))
@@ -155,6 +160,22 @@ def confusion(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return df.where(F.col(ref).isNotNull() & F.col(hyp).isNotNull()).groupBy(F.col(ref).alias("ref"), F.col(hyp).alias("hyp")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def weighted_scores(df: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """(n, accuracy, precision, recall, f1): scores of the labels weighted by their numbers in ``ref``.
+
+    All from the confusion counts, so only as many rows as pairs of labels leave the first aggregate.
+    A label that is never found has precision 0. Rows with a null label are left out.
+    """
+    c = confusion(df, ref, hyp)
+    side = lambda name, n: c.groupBy(F.col(name).alias("label")).agg(F.sum("n").alias(n))
+    hit = c.where("ref = hyp").select(F.col("ref").alias("label"), F.col("n").alias("tp"))
+    g = side("ref", "support").join(side("hyp", "found"), "label", "left").join(hit, "label", "left").na.fill(0)
+    p, q = F.when(F.col("found") > 0, F.col("tp") / F.col("found")).otherwise(0.0), F.col("tp") / F.col("support")
+    f = 2 * F.col("tp") / (F.col("support") + F.col("found"))
+    mean = lambda x: F.sum(x * F.col("support")) / F.sum("support")
+    return g.agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), mean(p).alias("precision"), mean(q).alias("recall"), mean(f).alias("f1"))
+
+
 def agreement(df: DataFrame, ref: str, hyp: str, low: int, high: int) -> DataFrame:
     """(n, accuracy, kappa): quadratic-weighted kappa of integer grades, from sums alone."""
     r, h = F.col(ref).cast("double"), F.col(hyp).cast("double")

@@ -21,6 +21,21 @@ def parts_within(c: Column, allowed: list[str], sep: str = "-") -> Column:
     return F.size(F.array_except(F.split(c, sep), F.array(*[F.lit(x) for x in allowed]))) == 0
 
 
+def length_window(length: Column, most: int, least: int = 1, extra: int = 0) -> Column:
+    """Whether a length, in whatever unit the caller counts (tokens, characters), is in a window; ``extra``
+    is added for special tokens. Null lengths are out."""
+    return F.coalesce((length >= least) & (length + extra <= most), F.lit(False))
+
+
+def best_of(df: DataFrame, by: list[str], score: str, ties: list[str]) -> DataFrame:
+    """The row of the greatest score of each group, of equals the least by ``ties``: one aggregate, no window.
+    Null scores lose against all others."""
+    rest = [c for c in df.columns if c not in (*by, *ties, score)]
+    low = F.coalesce(-F.col(score), F.lit(float("inf")))
+    g = df.groupBy(*by).agg(F.min(F.struct(low.alias("_low"), *ties, score, *rest)).alias("_s"))
+    return g.select(*[F.col(c) if c in by else F.col(f"_s.{c}") for c in df.columns])
+
+
 def contaminated(df: DataFrame, group: str, bad: Column) -> DataFrame:
     """Rows of groups in which any row is bad. Bad groups are found first, so no group is held by a task."""
     return df.join(df.where(F.coalesce(bad, F.lit(False))).select(group).distinct(), group, "left_semi")

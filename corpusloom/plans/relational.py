@@ -213,6 +213,22 @@ def _(t):
     return t("parallel_pair").where("length(text_src) between 1 and 120 and length(text_tgt) + 3 <= 200").select("rec_id")
 
 
+@query("filt_length_window", "select rec_id from parallel_pair where length(text_src) between 1 and 60")
+def _(t):
+    return t("parallel_pair").where(q.length_window(F.length("text_src"), 60)).select("rec_id")
+
+
+@query("filt_length_window_both", "select rec_id from parallel_pair where length(text_src) >= 1 and length(text_src) + 3 <= 90 and length(text_tgt) >= 1 and length(text_tgt) + 3 <= 150")
+def _(t):
+    return t("parallel_pair").where(q.length_window(F.length("text_src"), 90, extra=3) & q.length_window(F.length("text_tgt"), 150, extra=3)).select("rec_id")
+
+
+@query("agg_best_per_position", "select l_orderkey, l_linenumber % 3 as place, max(l_quantity) as score, min_by(l_linenumber, (-l_quantity, l_linenumber)) as l_linenumber from lineitem group by 1, 2")
+def _(t):
+    d = t("lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("place"), F.col("l_quantity").alias("score"), "l_linenumber")
+    return q.best_of(d, ["l_orderkey", "place"], "score", ["l_linenumber"])
+
+
 @query("filt_length_by_language", "select rec_id from parallel_pair where not coalesce(length(text_src) > 100 and lang_src in ('hj', 'cc', 'zh'), false)")
 def _(t):
     bad = (F.length("text_src") > 100) & F.col("lang_src").isin("hj", "cc", "zh")

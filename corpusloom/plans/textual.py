@@ -335,6 +335,24 @@ def _(t):
     return d.select("rec_id", F.col("m")[0]["content"].alias("asked"), F.col("m")[1]["content"].alias("answered"))
 
 
+@query("msg_prompt", f"""
+    select rec_id, 'Translate the following text from ' || s || ' into ' || g || '.' || chr(10) || s || ': ' || text_src || chr(10) || g || ': ' as asked, 1 as turns
+    from (select *, {_NAME.format(c='lang_src')} as s, {_NAME.format(c='lang_tgt')} as g from parallel_pair) where text_src is not null and lang_src is not null and lang_tgt is not null""")
+def _(t):
+    m = ms.prompt_messages(F.col("text_src"), F.col("lang_src"), F.col("lang_tgt"))
+    d = t("parallel_pair").select("rec_id", F.from_json(m, "array<struct<role:string,content:string>>").alias("m")).where("m is not null")
+    return d.select("rec_id", F.col("m")[0]["content"].alias("asked"), F.size("m").alias("turns"))
+
+
+@query("msg_prompt_with_reference", """
+    select rec_id, 'Translate the following text from Hanja into English, based on the reference translation in Old Korean.' || chr(10) || 'Hanja: ' || text_hj || chr(10) || 'Old Korean: ' || text_oko || chr(10) || 'English: ' as asked
+    from aligned_corpus where text_hj is not null and text_oko is not null""")
+def _(t):
+    m = ms.prompt_messages(F.col("text_hj"), F.lit("hj"), F.lit("en"), F.col("text_oko"), F.lit("oko"))
+    d = t("aligned_corpus").select("rec_id", F.from_json(m, "array<struct<role:string,content:string>>").alias("m")).where("m is not null")
+    return d.select("rec_id", F.col("m")[0]["content"].alias("asked"))
+
+
 @query("msg_role_rename", "select rec_id, 'user' as first, 'assistant' as second, true as same from parallel_pair where text_src is not null and text_tgt is not null")
 def _(t):
     turns = F.to_json(F.array(F.struct(F.lit("human").alias("from"), F.col("text_src").alias("value")), F.struct(F.lit("gpt").alias("from"), F.col("text_tgt").alias("value"))))
@@ -391,6 +409,14 @@ def _(t):
     return hy.hygiene(t("parallel_pair").select("rec_id", "split", "text_src"), "split", "text_src", "rec_id").select("rec_id", "split")
 
 
+@query("hyg_pipeline_length", """
+    with a as (select *, row_number() over (partition by split, text_src order by sha256(rec_id || '/42'), rec_id) as rn from parallel_pair where split is not null and text_src is not null),
+    b as (select * from a where rn = 1), c as (select * from b p where split not in ('train', 'valid') or not exists (select 1 from b x where x.split = 'test' and x.text_src = p.text_src))
+    select rec_id, split from c p where (split <> 'train' or not exists (select 1 from c x where x.split = 'valid' and x.text_src = p.text_src)) and length(text_src) between 1 and 100""")
+def _(t):
+    return hy.hygiene(t("parallel_pair").select("rec_id", "split", "text_src"), "split", "text_src", "rec_id", F.length("text_src"), 100).select("rec_id", "split")
+
+
 @query("hyg_split_remap", "select rec_id, case when meta_corpus = 'klc' and split = 'test' then 'test0' when meta_corpus = 'klc' and split = 'test2' then 'test' when meta_corpus = 'ocdb' then 'test' else split end as split from parallel_pair where case when meta_corpus = 'klc' and split = 'test' then 'test0' when meta_corpus = 'klc' and split = 'test2' then 'test' when meta_corpus = 'ocdb' then 'test' else split end not in ('train', 'valid', 'test0')")
 def _(t):
     c, s = F.col("meta_corpus"), F.col("split")
@@ -418,6 +444,12 @@ def _(t):
     return t("parallel_pair").where("text_tgt is not null").select("rec_id", F.when(~a.rlike("^[A-Za-z]"), a).alias("answer"))
 
 
+@query("hyg_answers_joined_back", "with a as (select rec_id, regexp_replace(text_tgt, '^(?:답|A):\\s*', '') as x from parallel_pair where text_tgt is not null and split = 'train') select p.rec_id, case when not regexp_matches(a.x, '^[A-Za-z]') then a.x end as answer from parallel_pair p left join a on p.rec_id = a.rec_id")
+def _(t):
+    p = t("parallel_pair")
+    return hy.merge_answers(p.select("rec_id"), p.where("text_tgt is not null and split = 'train'"), ["rec_id"], "text_tgt", "answer")
+
+
 @query("hyg_json_array_alignment", "select rec_id, array_to_string(string_split(text_hj, chr(10)), ' ') as hj, array_to_string(string_split(text_oko, chr(10)), ' ') as ko from aligned_corpus where len(string_split(text_hj, chr(10))) = len(string_split(text_oko, chr(10)))")
 def _(t):
     j = t("aligned_corpus").where("text_hj is not null and text_oko is not null").select("rec_id", F.to_json(F.split("text_hj", "\n")).alias("a"), F.to_json(F.split("text_oko", "\n")).alias("b"))
@@ -439,6 +471,22 @@ def _(t):
     return inc.failed(t("aligned_corpus"), "text_oko").select("rec_id")
 
 
+def _halved(text: str) -> str:
+    if not text.strip():
+        raise ValueError("blank")
+    return str(len(text) // 2)
+
+
+@query("inc_mapped", """
+    select rec_id as id, 'half' as model_id, text_src as text, case when regexp_matches(text_src, '[^\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]') then (length(text_src) // 2)::varchar end as content,
+        case when text_src is null then 'ValueError: no text' when not regexp_matches(text_src, '[^\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]') then 'ValueError: blank' end as error
+    from parallel_pair where coalesce(split, '') <> 'test' or text_src is null""")
+def _(t):
+    p = t("parallel_pair")
+    done = p.where("split = 'test'").select(F.col("rec_id").alias("id"), F.lit("half").alias("model_id"), F.col("text_src").alias("content"))
+    return inc.mapped(p, "rec_id", "text_src", _halved, "half", done).drop("duration")
+
+
 # ---- metrics
 
 
@@ -490,6 +538,16 @@ def _(t):
     return mt.confusion(t("parallel_pair").withColumn("c", F.lower(F.trim("meta_corpus"))), "c", "split")
 
 
+@query("met_weighted", """
+    with d as (select lang_src as r, lang_tgt as h, count(*) as n from parallel_pair where lang_src is not null and lang_tgt is not null group by all),
+    s as (select r as x, sum(n) as support, sum(case when r = h then n else 0 end) as tp from d group by 1), f as (select h as x, sum(n) as found from d group by 1)
+    select sum(support)::bigint as n, round(sum(tp) / sum(support), 6) as accuracy, round(sum(case when coalesce(found, 0) > 0 then tp / found else 0 end * support) / sum(support), 6) as precision,
+        round(sum(tp) / sum(support), 6) as recall, round(sum(2 * tp / (support + coalesce(found, 0)) * support) / sum(support), 6) as f1 from s left join f on s.x = f.x""")
+def _(t):
+    d = mt.weighted_scores(t("parallel_pair"), "lang_src", "lang_tgt")
+    return d.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
 @query("met_kappa", "with d as (select l_linenumber::double as r, least(7, floor(l_quantity / 8) + 1)::double as h from lineitem), s as (select count(*) as n, avg((r = h)::int) as a, sum((r - h) * (r - h)) as o, sum(r * r) as rr, sum(h * h) as hh, sum(r) as rs, sum(h) as hs from d where r between 1 and 7 and h between 1 and 7) select n, round(a, 6) as accuracy, round(1 - o / (rr + hh - 2 * rs * hs / n), 6) as kappa from s")
 def _(t):
     d = t("lineitem").select(F.col("l_linenumber").alias("r"), F.least(F.lit(7), F.floor(F.col("l_quantity") / 8) + 1).alias("h"))
@@ -523,7 +581,10 @@ def _(t):
     return _oov_mass(t, (90, 99, 100))
 
 
-@query("met_oov_thresholds")
+@query("met_oov_thresholds", f"""
+    with g as ({_CM}), r as (select *, sum(n) over (partition by lang order by n desc, c rows unbounded preceding) / sum(n) over (partition by lang) * 100 as p, sum(n) over (partition by lang) as whole from g),
+    v(t) as (values (100::double), (99.99::double), (99.9::double), (99::double), (95::double), (90::double)), k as (select lang, t, c from r, v where p <= t)
+    select a.lang as l1, b.lang as l2, v.t as threshold, round(sum(case when not exists (select 1 from k where k.lang = b.lang and k.t = v.t and k.c = a.c) then a.n else 0 end) / max(a.whole) * 100, 6) as oov from r a, (select distinct lang from g) b, v where a.lang <> b.lang group by all""")
 def _(t):
     return _oov_mass(t, (100.0, 99.99, 99.9, 99.0, 95.0, 90.0))
 

@@ -151,3 +151,27 @@ def test_alignment_rules(spark):
     got = hygiene.alignment_rules(d, "link", "data", "text", ["data", "text", "title_ko"], ["원문 빠짐", "원문 결락"], ("title", "title_ko")).collect()
     assert {r.k for r in got if r.text} == {1, 7, 9} and all(r.data is None and r.title_ko is None for r in got if not r.text)
     assert [r.title for r in sorted(got, key=lambda r: r.k)] == [r[4] for r in rows]
+
+
+def test_fixed_forms_of_radicals_and_marks(spark):
+    from corpusloom.functions import normalize as nm
+
+    pairs = [("⺋", "㔾"), ("⺩", "𤣩"), ("⺮", "𥫗"), ("⻖", "阝"), ("ム", "厶"), ("爲", "為"), ("𧥙", "𣁀"), ("⼧", "宀"), ("〸", "十"), ("樂", "樂"), ("福", "福"), ("﹐", "，")]
+    marks = [("‟", '"'), ("—", "-"), ("―", "-"), ("∶", ":"), ("ᆞ", "·"), ("！", "!"), ("｡", "。"), ("…", "...")]
+    d = spark.createDataFrame([(a, b, "c") for a, b in pairs] + [(a, b, "m") for a, b in marks], "a string, b string, kind string")
+    got = d.withColumn("x", F.when(F.col("kind") == "c", nm.cjk(F.col("a"))).otherwise(nm.punctuation(F.col("a")))).where("x <> b").collect()
+    assert got == []
+
+
+def test_mapped_rows_and_leaks_with_nulls(spark):
+    from corpusloom.streaming import incremental as inc
+
+    t = spark.createDataFrame([(1, "5"), (2, None), (3, "x"), (4, "")], "k long, s string")
+    got = {r.id: (r.content, r.error) for r in inc.mapped(t, "k", "s", lambda s: str(int(s) + 1), "m").collect()}
+    assert got[1] == ("6", None) and got[2] == (None, "ValueError: no text") and got[3][0] is None and got[3][1].startswith("ValueError")
+    again = inc.mapped(t, "k", "s", len, "m", inc.mapped(t, "k", "s", lambda s: str(int(s) + 1), "m"))
+    assert {r.id for r in again.collect()} == {2, 3, 4}
+    d = spark.createDataFrame([(1, "train", "a"), (2, "test", "a"), (3, "train", None), (4, None, "a"), (5, "train", "b")], "k long, split string, s string")
+    assert {r.k for r in hygiene.drop_leaks(d, "split", ["s"], "test", ["train", "valid"]).collect()} == {2, 3, 4, 5}
+    w = metrics.weighted_scores(spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), (None, "a")], "r string, h string"), "r", "h").first()
+    assert (w.n, w.accuracy, w.recall) == (4, 0.5, 0.5) and abs(w.precision - (2 * 0.5 + 0.5) / 4) < 1e-9
