@@ -15,7 +15,7 @@ each class. No pair within the bound of ``WRONG`` can be missed:
    the shuffle. So each piece of a training text goes to one shard, and work grows with the texts,
    not with texts times shards.
 3. Scan. Each shard builds one Aho-Corasick automaton over its passages and runs it over its
-   stretches. A match counts where place, length and the parities of 128 classes of code points
+   stretches. A match counts where the parts before and behind it and the parities of 128 classes of code points
    (an edit changes at most two) agree with the bound.
 4. Coverage. Matched intervals are merged per evaluation and training text; pairs with any coverage
    are confirmed by bags of code points and the exact bounded edit distance.
@@ -225,7 +225,9 @@ class Shard:
             r, off = np.repeat(row[x:y], c), np.repeat(at[x:y], c)
             size = rows["size"].to_numpy(dtype=np.int64)[r]
             most = (WRONG * np.maximum(size, self.size[p]) + 1e-9).astype(np.int64)
-            ok = (np.abs(size - self.size[p]) <= most) & (np.abs(off - self.at[p]) <= most) & (rows["cid"].to_numpy()[r] != self.cid[p])
+            # Edits before the passage move it, edits behind it move the text's end: both together are within the bound.
+            moved = np.abs(off - self.at[p]) + np.abs(size - off - self.size[p] + self.at[p])
+            ok = (moved <= most) & (rows["cid"].to_numpy()[r] != self.cid[p])
             p, r, most = p[ok], r[ok], most[ok]
             ok = np.bitwise_count(rows["s1"].to_numpy()[r].view(np.uint64) ^ self.s1[p].view(np.uint64)).astype(np.int64) + np.bitwise_count(rows["s2"].to_numpy()[r].view(np.uint64) ^ self.s2[p].view(np.uint64)) <= 2 * most
             p, r = p[ok], r[ok]
