@@ -11,7 +11,8 @@ each class. No pair within the bound of ``WRONG`` can be missed:
 2. Shards. A passage belongs to the least fingerprint of the three-point windows at its start. Every
    window of every training text is looked at: it has a least fingerprint too, and runs of windows
    with the same one are stretches that only the shard of that fingerprint can match. Windows that
-   begin no passage at all (a bit map of fixed size, without false negatives) are left out before
+   begin no passage at all, or none of an evaluation text of such a size at such a place that the
+   bound allows the pair (two bit maps of fixed size, without false negatives), are left out before
    the shuffle. So each piece of a training text goes to one shard, and work grows with the texts,
    not with texts times shards.
 3. Scan. Each shard builds one Aho-Corasick automaton over its passages and runs it over its
@@ -41,6 +42,11 @@ CELL, LONGEST, GRAM = 6, 9, 3
 WRONG = 0.12
 #: Bits of the fingerprint that number the counts of cells, and the map of windows that begin a passage.
 RARITY_BITS, KNOWN_BITS = 20, 26
+#: Bits of the map of windows that begin a passage of a class of sizes in a class of places.
+NEAR_BITS = 28
+#: Least size of each class of sizes, and how far the places of one class lie apart, as twice the place less the size.
+SIZES = np.unique([int(1.13**i) for i in range(177)])
+WIDTHS = np.maximum(2, (0.13 * SIZES).astype(np.int64))
 #: Passages of one shard, about; its automaton takes some 100 bytes for each.
 SHARD = 300_000
 #: Rows of one fingerprint above which it is split.
@@ -118,6 +124,34 @@ def choose(n: int, counts: np.ndarray) -> list[tuple[int, int]]:
     return [(a, min(b - a, LONGEST)) for a, b in zip(kept.tolist(), ends.tolist(), strict=True)] if p else []
 
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Class of each size; grows with the size."""
+    return np.maximum(0, np.searchsorted(SIZES, n, "right") - 1)
+
+
+def near_bit(h: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Bit of a window with this fingerprint in a class of sizes and a class of places."""
+    return (mix(h ^ mix((sizes.astype(np.uint64) << np.uint64(32)) + places.astype(np.uint64))) >> np.uint64(64 - NEAR_BITS)).astype(np.int64)
+
+
+def near_passage(near: np.ndarray, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a window at this place of a training text of n code points may begin a passage of a partner.
+
+    With at most k edits the sizes differ by k at most; so do the edits before a passage and those behind
+    it together, and with them twice the place less the size.
+    """
+    k = (WRONG * n / (1 - WRONG) + 1e-9).astype(np.int64)
+    out, lo, hi, skew = np.zeros(len(h), dtype=bool), size_class(n - k), size_class(n + k), 2 * at - n
+    for i in range(int((hi - lo).max(initial=-1)) + 1):
+        c = np.minimum(lo + i, hi)
+        first, last = (skew - k) // WIDTHS[c], (skew + k) // WIDTHS[c]
+        for x in range(int((last - first).max(initial=-1)) + 1):
+            rest = np.flatnonzero(~out & (lo + i <= hi) & (first + x <= last))
+            bit = near_bit(h[rest], c[rest], first[rest] + x)
+            out[rest] = (near[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
 def _parts(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
     for whole in batches:
         for i in range(0, len(whole), rows):
@@ -158,12 +192,15 @@ def _passages(rarity):
                 for x in REACH:
                     key[q == x] = j.least(where[q == x], x)
                 first = j.prints.at(where, where + q)
-                yield pd.DataFrame({"key": (key >> np.uint64(33)).astype(np.int32), "text": text, "cid": b["cid"].to_numpy()[i], "size": j.size[i].astype(np.int32), "at": np.array(a, dtype=np.int32), "s1": sig[i, 0], "s2": sig[i, 1], "bit": (first >> np.uint64(64 - KNOWN_BITS)).astype(np.int32)})
+                a, n = np.array(a, dtype=np.int64), j.size[i]
+                sizes = size_class(n)
+                yield pd.DataFrame({"key": (key >> np.uint64(33)).astype(np.int32), "text": text, "cid": b["cid"].to_numpy()[i], "size": n.astype(np.int32), "at": a.astype(np.int32), "s1": sig[i, 0], "s2": sig[i, 1], "bit": (first >> np.uint64(64 - KNOWN_BITS)).astype(np.int32), "near": near_bit(first, sizes, (2 * a - n) // WIDTHS[sizes]).astype(np.int32)})
 
     return run
 
 
-def _stretches(known):
+def _stretches(known, near=None):
+    """Stretches of windows that are in the map ``known`` and, where it is given, in the map ``near``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits: np.ndarray = known.value
         for b in _parts(batches):
@@ -175,7 +212,10 @@ def _stretches(known):
                 ok = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
                 if q < CELL:
                     ok &= j.size[j.owner[at]] <= reach
-                at = at[ok]
+                at, h = at[ok], h[ok]
+                if near is not None:
+                    own = j.owner[at]
+                    at = at[near_passage(near.value, h, at - j.start[own], j.size[own])]
                 if len(at) == 0:
                     continue
                 key, own = j.least(at, q), j.owner[at]
@@ -377,8 +417,9 @@ def near_classes(texts: DataFrame) -> DataFrame:
     seen = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     counted = ev.mapInPandas(_count_windows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     seen[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    passages = cut(ev.mapInPandas(_passages(sc.broadcast(seen)), _ROW + ", bit int"), "passages")
-    stretches = cut(tr.mapInPandas(_stretches(sc.broadcast(bit_map(passages, KNOWN_BITS))), _ROW), "stretches")
+    passages = cut(ev.mapInPandas(_passages(sc.broadcast(seen)), _ROW + ", bit int, near int"), "passages")
+    known, near = (sc.broadcast(bit_map(passages.select(F.col(c).alias("bit")), n)) for c, n in (("bit", KNOWN_BITS), ("near", NEAR_BITS)))
+    stretches = cut(tr.mapInPandas(_stretches(known, near), _ROW), "stretches")
     merged = scan_shards(passages, stretches).groupBy("e", "t").agg(F.collect_set(F.struct("at", "length")).alias("at"), F.first("size").alias("size"))
     cand = merged.select("e", "t", (F.expr("aggregate(at, 0, (n, x) -> n + x.length)") / F.col("size")).alias("coverage"))
     x = cand.join(texts.select(F.col("cid").alias("e"), F.col("folded").alias("e_text")), "e")

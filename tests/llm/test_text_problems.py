@@ -446,3 +446,45 @@ def test_counts_by_products_and_by_cells_agree():
             assert np.allclose(got, want.reshape(-1), rtol=1e-3, atol=1e-5)
     seen = pd.concat(align._count_tokens(iter([blocks]))).groupby(["side", "w"])["n"].sum()
     assert {w: n for w, n in seen["k"].items() if w != -1} == words["k"]
+
+
+def maps(passages):
+    """The bit maps of start windows and of start windows by size and place."""
+    out = []
+    for c, bits in (("bit", overlap.KNOWN_BITS), ("near", overlap.NEAR_BITS)):
+        one, bit = np.zeros(1 << (bits - 3), dtype=np.uint8), passages[c].to_numpy()
+        np.bitwise_or.at(one, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+        out.append(type("Value", (), {"value": one}))
+    return out
+
+
+def test_stretches_only_where_size_and_place_allow_a_pair():
+    rng = random.Random(13)
+    frame = lambda x, first: pd.DataFrame({"cid": range(first, first + len(x)), "folded": x})
+    rarity = type("Value", (), {"value": np.zeros(1 << overlap.RARITY_BITS, dtype=np.int64)})
+    evaluation, training, edits = [], [], lambda n: int(overlap.WRONG * n + 1e-9)
+    for n in [*range(8, 130), 300, 1000]:
+        e = "".join(rng.choices("abcdefgh", k=n))
+        for where in range(4):  # all edits in front, behind, or spread; letters put in, taken out or changed
+            k = rng.randrange(1, edits(n) + 1) if edits(n) else 0
+            t = list(e)
+            for i in range(k):
+                x = (0, len(t) - 1, rng.randrange(len(t)), i * n // (k + 1))[where]
+                t[x : x + 1] = rng.choice(([], ["z", *t[x : x + 1]], ["y"]))
+            evaluation.append(e)
+            training.append("".join(t))
+    p = pd.concat(overlap._passages(rarity)(iter([frame(evaluation, 0)])))
+    known, near = maps(p)
+    s = pd.concat(overlap._stretches(known, near)(iter([frame(training, len(evaluation))])))
+    keys = set(p["key"]) & set(s["key"])
+    found = pd.concat([overlap.Shard(p[p["key"] == k]).scan(s[s["key"] == k]) for k in keys])
+    found = {(e, t - len(evaluation)) for e, t in zip(found["e"], found["t"], strict=True)}
+    close = lambda e, t: edit(e, t) <= edits(max(len(e), len(t)))
+    assert {i for i, (e, t) in enumerate(zip(evaluation, training, strict=True)) if e != t and len(e) < 200 and overlap.most_edits(len(e)) and close(e, t)} <= {e for e, t in found if e == t}
+    # A phrase of an evaluation text far from its place, or in a much longer text, is shipped nowhere.
+    phrase, rest = "".join(chr(0x4E00 + i) for i in range(60)), ["".join(chr(0x5000 + 80 * x + i) for i in range(80)) for x in range(20)]
+    p = pd.concat(overlap._passages(rarity)(iter([frame([phrase + rest[0]], 0)])))
+    known, near = maps(p)
+    elsewhere = frame([rest[1] + phrase, phrase + "".join(rest[1:])], 1)
+    assert len(pd.concat(overlap._stretches(known)(iter([elsewhere])))) > 10
+    assert not list(overlap._stretches(known, near)(iter([elsewhere])))
