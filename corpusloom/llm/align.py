@@ -1,6 +1,6 @@
 """Problem 4: sentence alignment in bilingual documents.
 
-Every text is read once and written as its lines' distinct tokens, numbers and counts, some thousand
+Every text is read once and written as its lines' distinct tokens, numbers and counts, a thousand
 records to a block of flat arrays. Translation tables are estimated by expectation-maximisation: every
 iteration is one Spark job whose tasks return expected counts of their rows, summed by token pair, over
 all records and every token seen more than once; frequent tokens are worked by matrix products, the
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,8 +155,10 @@ def read_lines(texts: list[str], name: str) -> dict[str, np.ndarray]:
     else:
         keep = _SYLLABLES[arr] if name == "oko" else ~_NUMERAL[arr] & (arr != 10)
         arr, line = arr[keep], line[keep]
-        vocabulary = np.flatnonzero(np.bincount(arr, minlength=_TOP))
-        place = np.zeros(_TOP, dtype=np.int64)
+        there = np.zeros(_TOP, dtype=bool)
+        there[arr] = True
+        vocabulary = np.flatnonzero(there)
+        place = np.zeros(_TOP, dtype=np.int32)
         place[vocabulary] = np.arange(len(vocabulary))
         code = place[arr]
     key, n = np.unique(line * len(vocabulary) + code, return_counts=True)
@@ -175,14 +178,23 @@ def text_lines(text: str, name: str) -> list[Line]:
 _SIDE = "{0} binary"
 
 
-def _read(name: str, rows: int = 4000, chars: int = 1_000_000):
-    """Blocks of records as their lines' tokens; ``rec_id`` is the first one's."""
+def _packed(d: dict[str, np.ndarray]) -> bytes:
+    x = pickle.dumps(d)
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def _unpacked(x: bytes) -> dict[str, np.ndarray]:
+    return pickle.loads(pa.decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), codec="zstd"))
+
+
+def _read(name: str, rows: int = 1000, chars: int = 400_000):
+    """Blocks of records as their lines' tokens, small enough for an executor to hold many; ``rec_id`` is the first one's."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             size = whole["text_hj"].str.len().to_numpy() + whole["side"].str.len().to_numpy()
             for _, b in whole.groupby(np.maximum.accumulate(np.maximum(np.arange(len(whole)) // rows, np.cumsum(size) // chars)) if len(whole) else []):
                 h = read_lines(b["text_hj"].tolist(), "hj") | {"id": b["rec_id"].to_numpy()}
-                yield pd.DataFrame({"rec_id": b["rec_id"].iloc[:1], "h": [pickle.dumps(h)], "k": [pickle.dumps(read_lines(b["side"].tolist(), name))]})
+                yield pd.DataFrame({"rec_id": b["rec_id"].iloc[:1], "h": [_packed(h)], "k": [_packed(read_lines(b["side"].tolist(), name))]})
 
     return run
 
@@ -191,7 +203,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict, dict]]:
     """Both sides of each block of :func:`_read`."""
     for b in batches:
         for h, k in zip(b["h"], b["k"], strict=True):
-            yield pickle.loads(h), pickle.loads(k)
+            yield _unpacked(h), _unpacked(k)
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:

@@ -408,7 +408,7 @@ def test_blocks_of_lines_read_as_single_lines():
             assert f == bool(x.strip()) + 2 * (x.rstrip()[-1:] in (",", "，"))
     assert len(align.read_lines(["一" * 5000], "hj")["x"]) == 0  # a numeral too long for a number ends nothing
     d = pd.DataFrame({"rec_id": range(9000), "text_hj": "甲\n乙", "side": "갑\n을"})
-    assert len(pd.concat(align._read("oko")(iter([d])))) == 3  # a row a block, not a record
+    assert len(pd.concat(align._read("oko", 3000)(iter([d])))) == 3  # a row a block, not a record
 
 
 def test_counts_by_products_and_by_cells_agree():
